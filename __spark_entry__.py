@@ -70,14 +70,14 @@ def _shared(kind: str, spark: SparkSession, sf_dir: str, make: Callable[[], Data
 def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shared(
         "dict", spark, sf_dir,
-        lambda: tw.materialize(tw.build_dictionary(star_triples(spark, sf_dir)), "dictionary"),
+        lambda: tw.materialize(tw.build_dictionary(_raw(spark, sf_dir)), "dictionary"),
     )
 
 
 def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make() -> DataFrame:
         path = scratch_path(spark, "store")
-        encoded = tw.encode_triples(star_triples(spark, sf_dir), _dictionary(spark, sf_dir))
+        encoded = tw.encode_triples(_raw(spark, sf_dir), _dictionary(spark, sf_dir))
         tw.write_properties(encoded, path)
         return tw.scan_properties(spark, path)
 
@@ -95,8 +95,17 @@ def _id(spark: SparkSession, sf_dir: str, term: str) -> int | None:
     return tw.encode_query([(term, "?p", "?o")], _dictionary(spark, sf_dir))[0][0]
 
 
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make() -> DataFrame:
+        path = scratch_path(spark, "raw-store")
+        tw.write_properties(star_triples(spark, sf_dir), path)
+        return tw.scan_properties(spark, path, encoded=False)
+
+    return _shared("raw", spark, sf_dir, make)
+
+
 def _on_raw(run: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: run(star_triples(spark, sf_dir))
+    return lambda spark, sf_dir: run(_raw(spark, sf_dir))
 
 
 def _on_store(run: Callable[[DataFrame], DataFrame]) -> Query:
@@ -124,7 +133,7 @@ def _statements(triples: DataFrame, sep: str) -> DataFrame:
 def _round_trip_ntriples(sep_name: str, sep: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch_path(spark, "nt")
-        _statements(star_triples(spark, sf_dir), sep).write.text(path)
+        _statements(_raw(spark, sf_dir), sep).write.text(path)
         return tw.read_ntriples(spark, path, sep_name)
 
     return run
@@ -155,8 +164,8 @@ _register(
 
 def _raw_store(props=None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = scratch_path(spark, "raw-store")
-        tw.write_properties(star_triples(spark, sf_dir), path)
+        path = scratch_path(spark, "raw-copy")
+        tw.write_properties(_raw(spark, sf_dir), path)
         return tw.scan_properties(spark, path, props, encoded=False)
 
     return run
@@ -184,7 +193,7 @@ _register("b1_build_dictionary", _dictionary, "SELECT id, term FROM dict")
 
 
 def _extend_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    triples = star_triples(spark, sf_dir)
+    triples = _raw(spark, sf_dir)
     known = tw.build_dictionary(triples.where(F.col("p").isin(PLACED, STATUS)))
     return tw.extend_dictionary(known, triples)
 
@@ -204,7 +213,7 @@ FROM dict WHERE term NOT IN (SELECT term FROM base)""",
 )
 _register(
     "b3_encode_triples",
-    lambda spark, sf_dir: tw.encode_triples(star_triples(spark, sf_dir), _dictionary(spark, sf_dir)),
+    lambda spark, sf_dir: tw.encode_triples(_raw(spark, sf_dir), _dictionary(spark, sf_dir)),
     "SELECT s, p, o, o_id FROM enc",
 )
 
@@ -225,7 +234,7 @@ SELECT s, 4, '?v', CASE WHEN s = o THEN '{KNOWS}' ELSE '?q' END, '?v' FROM tripl
 
 def _workload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_WORKLOAD_SQL.replace("FROM triples", "FROM {triples}"),
-                     triples=star_triples(spark, sf_dir))
+                     triples=_raw(spark, sf_dir))
 
 
 def _resolved(name: str) -> str:
@@ -282,7 +291,7 @@ def _expand_curies(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefixes = spark.createDataFrame(
         [("cus", EX + "customer/"), ("ord", EX + "order/")], "prefix STRING, iri STRING"
     )
-    curies = star_triples(spark, sf_dir).select(curie.alias("curie"), curie.alias("s"), "p", "o")
+    curies = _raw(spark, sf_dir).select(curie.alias("curie"), curie.alias("s"), "p", "o")
     return tw.expand_curies(curies, "s", prefixes)
 
 
@@ -470,7 +479,7 @@ AND (o LIKE '"%' OR (o IN (SELECT o FROM triples WHERE p = '{PLACED}')
 _register(
     "f4_reduction_keys",
     lambda spark, sf_dir: tw.reduction_keys(
-        _workload(spark, sf_dir), star_triples(spark, sf_dir).select("p").distinct()),
+        _workload(spark, sf_dir), _raw(spark, sf_dir).select("p").distinct()),
     f""", w AS ({_WORKLOAD_SQL}), props AS (SELECT DISTINCT p AS prop FROM triples),
 own AS (
   SELECT w.*, w.s AS var, 's' AS col, CASE WHEN w.p LIKE '?%' THEN prop ELSE w.p END AS own_p
@@ -548,7 +557,7 @@ _REDUCTIONS_SQL = "\nUNION ALL\n".join(
 
 def _workload_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = tw.pattern_table(spark, WORKLOAD)
-    return tw.workload_reductions(star_triples(spark, sf_dir), patterns)
+    return tw.workload_reductions(_raw(spark, sf_dir), patterns)
 
 
 _register("f5_workload_reductions", _workload_reductions, _REDUCTIONS_SQL)

@@ -76,11 +76,9 @@ def semi_join(
     hash both sides get their own exchange, and the sort compares numbers
     before it compares text.
     """
-    left = rows.withColumn("_key", key).withColumn("_hash", F.xxhash64("_key"))
-    right = keys.withColumnRenamed("key", "_right_key").withColumn(
-        "_right_hash", F.xxhash64("_right_key")
-    )
-    condition = (F.col("_hash") == F.col("_right_hash")) & (F.col("_key") == F.col("_right_key"))
+    right = keys.withColumnRenamed("key", "_right_key")
+    other = F.col("_right_key")
+    condition = (F.xxhash64(key) == F.xxhash64(other)) & (key == other)
     if residual is not None:
         condition = condition & residual
-    return left.join(right, condition, "left_semi").drop("_key", "_hash")
+    return rows.join(right, condition, "left_semi")
