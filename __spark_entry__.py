@@ -56,10 +56,10 @@ _CTES = f"""WITH triples AS (
 )
 """
 
-_SHARED: dict[tuple, DataFrame] = {}
+_SHARED: dict[tuple, object] = {}
 
 
-def _shared(kind: str, spark: SparkSession, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
+def _shared(kind: str, spark: SparkSession, sf_dir: str, make: Callable):
     """Tables several queries start from, written once per application."""
     key = (kind, spark.sparkContext.applicationId, sf_dir)
     if key not in _SHARED:
@@ -74,36 +74,46 @@ def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def make() -> DataFrame:
+def _property_store(spark: SparkSession, sf_dir: str) -> tw.PropertyStore:
+    def make() -> tw.PropertyStore:
         path = scratch_path(spark, "store")
         encoded = tw.encode_triples(_raw(spark, sf_dir), _dictionary(spark, sf_dir))
         tw.write_properties(encoded, path)
-        return tw.scan_properties(spark, path)
+        return tw.PropertyStore(spark, path)
 
     return _shared("store", spark, sf_dir, make)
 
 
+def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _property_store(spark, sf_dir).table
+
+
 def _filters(spark: SparkSession, sf_dir: str, kind: str = "exact") -> DataFrame:
-    return _shared(
-        "filters-" + kind, spark, sf_dir,
-        lambda: tw.materialize(tw.build_all_filters(_store(spark, sf_dir), kind, 0.01), "filters"),
-    )
+    def make() -> DataFrame:
+        path = scratch_path(spark, "filters")
+        tw.write_filters(tw.build_all_filters(_store(spark, sf_dir), kind, 0.01), path)
+        return spark.read.parquet(path)
+
+    return _shared("filters-" + kind, spark, sf_dir, make)
 
 
 def _id(spark: SparkSession, sf_dir: str, term: str) -> int | None:
     return tw.encode_query([(term, "?p", "?o")], _dictionary(spark, sf_dir))[0][0]
 
 
-def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def make() -> DataFrame:
+def _raw_property_store(spark: SparkSession, sf_dir: str) -> tw.PropertyStore:
+    def make() -> tw.PropertyStore:
         path = scratch_path(spark, "raw-store")
         tw.write_properties(star_triples(spark, sf_dir), path)
-        return tw.scan_properties(spark, path, encoded=False)
+        return tw.PropertyStore(spark, path, encoded=False)
 
     return _shared("raw", spark, sf_dir, make)
 
 
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raw_property_store(spark, sf_dir).table
+
+
 def _on_raw(run: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: run(_raw(spark, sf_dir))
 
@@ -265,7 +275,8 @@ WHERE a.p = '{PLACED}'"""
 def _solve(patterns, select=None, reduced: bool = False, **options) -> Query:
     """A query on raw triples."""
     solve = tw.reduced_bgp if reduced else tw.bgp
-    return _on_raw(lambda triples: solve(triples, patterns, select, **options))
+    return lambda spark, sf_dir: solve(
+        _raw_property_store(spark, sf_dir), patterns, select, **options)
 
 
 def _solve_enc(patterns, select=None, reduced: bool = False, **options) -> Query:
@@ -275,7 +286,7 @@ def _solve_enc(patterns, select=None, reduced: bool = False, **options) -> Query
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         dictionary = _dictionary(spark, sf_dir)
         encoded = tw.encode_query(patterns, dictionary)
-        return tw.decode_bindings(solve(_store(spark, sf_dir), encoded, select, **options), dictionary)
+        return tw.decode_bindings(solve(_property_store(spark, sf_dir), encoded, select, **options), dictionary)
 
     return run
 
@@ -590,6 +601,20 @@ WHERE a.p = '{PLACED}'""",
     reduced=True,
 )
 
+
+
+def _solve_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of the workload, read from its stored reductions."""
+    path, _ = _stored_reductions(spark, sf_dir)
+    return tw.reduced_bgp(_raw_property_store(spark, sf_dir), WORKLOAD["chain"], stored=path)
+
+
+_register(
+    "f6_reduced_bgp_stored", _solve_stored,
+    f"""SELECT a.s AS o, a.o AS sup, b.o AS n, r.o AS r FROM triples a JOIN triples b ON b.s = a.o
+JOIN triples r ON r.s = b.o AND r.p = '{REGION}' WHERE a.p = '{SHIPPED}' AND b.p = '{NATION}'""",
+)
+
 # ---------------------------------------------------------------- membership filters
 
 

@@ -18,6 +18,7 @@ from tripleweft.operators.filters import (
     probe_exact,
     union_filters,
     verify_properties,
+    write_filters,
 )
 from tripleweft.operators.joins import join_bindings, join_unbound_property, semi_join
 from tripleweft.operators.layout import intersect_properties, partition_by, union_properties
@@ -30,6 +31,7 @@ from tripleweft.operators.reductions import (
     reduce_pattern,
     reduce_subject,
     reduction_keys,
+    reduction_names,
     workload_reductions,
 )
 from tripleweft.operators.stats import (
@@ -48,7 +50,7 @@ from tripleweft.sources.ntriples import (
     read_prefixes,
     write_encoded,
 )
-from tripleweft.sources.properties import scan_properties, write_properties
-from tripleweft.sources.reductions import read_catalog, read_reduction, write_reductions
+from tripleweft.sources.properties import PropertyStore, scan_properties, write_properties
+from tripleweft.sources.reductions import read_catalog, read_reduction, read_stored, write_reductions
 
 __all__ = [name for name in dir() if not name.startswith("_")]

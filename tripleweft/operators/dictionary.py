@@ -135,23 +135,34 @@ def decode_bindings(
 ) -> DataFrame:
     """Ids back to terms as text; values the dictionary lacks pass through.
 
-    A literal has no id. It is given a negative one, which no term has, made
-    from the whole row, so that literals spread over all partitions instead of
-    meeting in the one for null.
+    The bindings are computed once and written. The dictionary, which may be
+    far larger, is read once for the distinct ids of all variables, and both
+    steps go by true sizes: a small result never shuffles the dictionary.
     """
     columns = bindings.columns
-    decoded = bindings
-    for name in columns if variables is None else variables:
-        spread = -1 - F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(1 << 31))
-        terms = dictionary.select(F.col("id").alias("_id"), F.col("term").alias("_term"))
+    names = list(columns if variables is None else variables)
+    bindings = materialize(bindings, "bindings")
+    ids = bindings.select(
+        F.explode(F.array(*[F.col(name).try_cast("bigint") for name in names])).alias("id")
+    )
+    ids = materialize(ids.where("id IS NOT NULL").distinct(), "binding-ids")
+    terms = materialize(dictionary.join(ids, "id", "left_semi").select("id", "term"), "terms")
+    # A literal has no id. It is given a negative one, which no term has, made
+    # from the whole row, so that literals spread over all partitions instead
+    # of meeting in the one for null.
+    spread = -1 - F.pmod(F.xxhash64(*[F.col(name) for name in columns]), F.lit(1 << 31))
+    decoded = bindings.withColumn("_spread", spread)
+    for name in names:
+        key = F.coalesce(F.col(name).try_cast("bigint"), F.col("_spread"))
+        found = terms.select(F.col("id").alias("_id"), F.col("term").alias("_term"))
         text = F.coalesce(F.col("_term"), F.col(name).cast("string"))
         decoded = (
-            decoded.withColumn("_id", F.coalesce(F.col(name).try_cast("bigint"), spread))
-            .join(terms, "_id", "left")
+            decoded.withColumn("_id", key)
+            .join(found, "_id", "left")
             .withColumn(name, text)
-            .select(*columns)
+            .drop("_id", "_term")
         )
-    return decoded
+    return decoded.select(*columns)
 
 
 def expand_curies(df: DataFrame, col: str, prefixes: DataFrame) -> DataFrame:

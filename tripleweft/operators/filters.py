@@ -28,7 +28,7 @@ from tripleweft.operators.joins import semi_join
 from tripleweft.operators.layout import intersect_properties
 from tripleweft.session import broadcast_if_small, materialize
 
-_COUNT_ERROR = 0.02  # relative error of the distinct counts that size Bloom filters
+_COUNT_ERROR = 0.05  # relative error of the distinct counts that size Bloom filters
 _HEADROOM = 1.0 + 3 * _COUNT_ERROR
 
 
@@ -140,6 +140,16 @@ def build_all_filters(enc: DataFrame, kind: str = "exact", fpp: float = 0.01) ->
     return _bloom_words(keys.join(sizes, ["p", "col"]), ["p", "col"], fpp)
 
 
+def write_filters(filters: DataFrame, path: str) -> None:
+    """Store the filters of all properties, in the order constants are looked up."""
+    (
+        filters.repartitionByRange("col", "bucket", "p")
+        .sortWithinPartitions("col", "bucket", "p")
+        .write.mode("overwrite")
+        .parquet(path)
+    )
+
+
 def candidate_properties(filters: DataFrame, s=None, o=None) -> DataFrame:
     """Properties (column `p`) whose filters hold the constants.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleweft.operators.patterns import Pattern, match_pattern
+from tripleweft.session import broadcast_if_small
 
 # Repeating a row n times goes through arrays; two levels keep them short.
 _REPEAT_BLOCK = 65_536
@@ -61,7 +62,8 @@ def join_unbound_property(
     All properties are read, or only those in `properties` (column `p`).
     """
     if properties is not None:
-        triples = triples.join(properties.select("p").distinct(), "p", "left_semi")
+        wanted = broadcast_if_small(properties.select("p").distinct())
+        triples = triples.join(wanted, "p", "left_semi")
     return join_bindings(bindings, match_pattern(triples, pattern, node_vars))
 
 

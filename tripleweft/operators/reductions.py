@@ -8,7 +8,7 @@ queries of one shape can share it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,13 +19,13 @@ from tripleweft.functions.terms import (
     is_resource,
     is_variable,
     object_key,
-    position_equals,
     position_key,
 )
 from tripleweft.operators.filters import verify_properties
 from tripleweft.operators.joins import semi_join
 from tripleweft.operators.patterns import Pattern
-from tripleweft.session import materialize
+from tripleweft.session import broadcast_if_small, materialize
+from tripleweft.sources.properties import PropertyStore, all_rows, rows_of
 
 # How the columns of a reduction are named.
 ANY = "ANY"
@@ -35,10 +35,10 @@ JOIN = "_JOIN_"
 OWN = object()  # partner property: the one the row itself belongs to
 
 
-def partner_keys(triples: DataFrame, partner: tuple) -> DataFrame:
+def partner_keys(triples: DataFrame | PropertyStore, partner: tuple) -> DataFrame:
     """Nodes in one column of one property, or of all for the property ANY."""
     p, position = partner
-    rows = triples if p == ANY else triples.where(position_equals(triples, "p", p))
+    rows = all_rows(triples) if p == ANY else rows_of(triples, p)
     return rows.select(position_key(rows, position).alias("key")).where("key IS NOT NULL")
 
 
@@ -91,7 +91,19 @@ def find_partners(pattern: Pattern, patterns: Sequence[Pattern]) -> dict[str, li
     return found
 
 
-def read_pattern(triples: DataFrame, pattern: Pattern) -> DataFrame:
+def reduction_names(pattern: Pattern, patterns: Sequence[Pattern]) -> dict[str, str]:
+    """Names of the reductions of a pattern with a constant predicate, by column."""
+    if is_variable(pattern[1]):
+        return {}
+    return {
+        position: JOIN.join(
+            [f"{pattern[1]}{TAG[position]}", *sorted(f"{p}{TAG[c]}" for p, c in partners)]
+        )
+        for position, partners in find_partners(pattern, patterns).items()
+    }
+
+
+def read_pattern(triples: DataFrame | PropertyStore, pattern: Pattern) -> DataFrame:
     """All rows of the property of a pattern.
 
     With a variable predicate, the rows of every property that can match:
@@ -99,21 +111,36 @@ def read_pattern(triples: DataFrame, pattern: Pattern) -> DataFrame:
     """
     s, p, o = pattern
     if not is_variable(p):
-        return triples.where(position_equals(triples, "p", p))
+        return rows_of(triples, p)
+    triples = all_rows(triples)
     nodes = {name: t for name, t in (("s", s), ("o", o)) if is_resource(t)}
     if not nodes:
         return triples
     if None in nodes.values():
         return triples.where(F.lit(False))
-    return triples.join(verify_properties(triples, **nodes), "p", "left_semi")
+    # few properties hold one node; a checked broadcast prunes the partitions
+    return triples.join(broadcast_if_small(verify_properties(triples, **nodes)), "p", "left_semi")
 
 
 def reduce_pattern(
-    triples: DataFrame, pattern: Pattern, patterns: Sequence[Pattern]
+    triples: DataFrame | PropertyStore,
+    pattern: Pattern,
+    patterns: Sequence[Pattern],
+    stored: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """The rows a pattern reads, cut by all its partners in the query."""
-    rows = read_pattern(triples, pattern)
+    """The rows a pattern reads, cut by all its partners in the query.
+
+    `stored` holds reductions that exist already, by name: one of them is
+    read in place of the property.
+    """
     partners = find_partners(pattern, patterns)
+    names = reduction_names(pattern, patterns)
+    found = [position for position, name in names.items() if name in (stored or {})]
+    if found:
+        rows = stored[names[found[0]]]
+        partners.pop(found[0])
+    else:
+        rows = read_pattern(triples, pattern)
     columns = {
         position: [partner_keys(triples, c) for c in found if c[0] is not OWN]
         for position, found in partners.items()
@@ -131,9 +158,11 @@ def _reduce_within_property(
     rows: DataFrame, triples: DataFrame, position: str, other: str
 ) -> DataFrame:
     """Rows whose node occurs in the `other` column of their own property."""
-    keys = triples.select(
-        F.struct("p", position_key(triples, other).alias("node")).alias("key")
-    ).where("key.node IS NOT NULL")
+    keys = (
+        all_rows(triples)
+        .select(F.struct("p", position_key(triples, other).alias("node")).alias("key"))
+        .where("key.node IS NOT NULL")
+    )
     own = F.struct("p", position_key(rows, position).alias("node"))
     if position == "s":
         return semi_join(rows, own, keys.distinct())
@@ -253,7 +282,7 @@ def _definitions(patterns: DataFrame, properties: DataFrame | None) -> DataFrame
     )
 
 
-def workload_reductions(triples: DataFrame, patterns: DataFrame) -> DataFrame:
+def workload_reductions(triples: DataFrame | PropertyStore, patterns: DataFrame) -> DataFrame:
     """Every distinct reduction of a workload, computed once: `name` + triples.
 
     The number of jobs and shuffles does not depend on how many reductions
@@ -261,6 +290,7 @@ def workload_reductions(triples: DataFrame, patterns: DataFrame) -> DataFrame:
     survives a reduction if they include all partners; the rows of the
     surviving nodes are the reduction.
     """
+    triples = all_rows(triples)
     properties = triples.select("p").distinct()
     wanted = materialize(
         _definitions(patterns, properties)
@@ -283,12 +313,13 @@ def workload_reductions(triples: DataFrame, patterns: DataFrame) -> DataFrame:
         .where(F.size(F.array_except("partners", "tags")) == 0)
         .select("name", F.col("own").alias("tag"), "key")
     )
-    rows = _tagged(triples, any_tags=False).join(materialize(owns, "reduction-owns"), "tag")
+    owned = _of_properties(triples, owns)
+    rows = _tagged(owned, any_tags=False).join(materialize(owns, "reduction-owns"), "tag")
     kept = rows.join(survivors, ["tag", "key"]).select("name", *triples.columns)
 
     object_reductions = wanted.where("col = 'o'").select("name", F.col("own").alias("tag"))
     literals = (
-        triples.where(is_literal("o"))
+        owned.where(is_literal("o"))
         .withColumn("tag", F.concat(F.col("p").cast("string"), F.lit(TAG["o"])))
         .join(object_reductions, "tag")
         .select("name", *triples.columns)
@@ -297,10 +328,18 @@ def workload_reductions(triples: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def _mentions(triples: DataFrame, used: DataFrame) -> DataFrame:
-    any_tags = not used.where(F.startswith("tag", F.lit(ANY + "_TRP"))).isEmpty()
+    any_tags = not used.where(F.col("tag").isin([ANY + tag for tag in TAG.values()])).isEmpty()
+    if not any_tags:
+        triples = _of_properties(triples, used)
     return _tagged(triples, any_tags).select("tag", "key").join(used, "tag", "left_semi")
 
 
+def _of_properties(triples: DataFrame, tags: DataFrame) -> DataFrame:
+    """Only the properties the tags name, so that other partitions are not read."""
+    name = F.regexp_replace("tag", "_TRP[SO]$", "").cast(triples.schema["p"].dataType)
+    return triples.join(broadcast_if_small(tags.select(name.alias("p")).distinct()), "p", "left_semi")
+
+
 def _tagged(triples: DataFrame, any_tags: bool) -> DataFrame:
     """Each triple once per column it puts a node into: `tag, key` + triple."""
     p = F.col("p").cast("string")

@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from tripleweft.functions.terms import is_variable
+from tripleweft.functions.terms import is_encoded, is_variable
 from tripleweft.operators.joins import join_bindings
 from tripleweft.operators.patterns import Pattern, match_pattern, node_variables, variables
-from tripleweft.operators.reductions import reduce_pattern
+from tripleweft.operators.reductions import reduce_pattern, reduction_names
+from tripleweft.sources.properties import PropertyStore, all_rows, rows_of
+from tripleweft.sources.reductions import read_stored
 
 
 def mentioned(patterns: Sequence[Pattern]) -> list[str]:
@@ -18,7 +20,7 @@ def mentioned(patterns: Sequence[Pattern]) -> list[str]:
 
 
 def bgp(
-    triples: DataFrame,
+    triples: DataFrame | PropertyStore,
     patterns: Sequence[Pattern],
     select: Sequence[str] | None = None,
     allow_product: bool = False,
@@ -31,7 +33,9 @@ def bgp(
     `inputs` may give each pattern a table of its own to read.
     """
     node_vars = node_variables(patterns)
-    tables = inputs or [triples] * len(patterns)
+    tables = inputs or [
+        all_rows(triples) if is_variable(p) else rows_of(triples, p) for _, p, _ in patterns
+    ]
     waiting = [
         (match_pattern(table, pattern, node_vars), sum(not is_variable(t) for t in pattern))
         for table, pattern in zip(tables, patterns)
@@ -57,11 +61,19 @@ def project(
 
 
 def reduced_bgp(
-    triples: DataFrame,
+    triples: DataFrame | PropertyStore,
     patterns: Sequence[Pattern],
     select: Sequence[str] | None = None,
     allow_product: bool = False,
+    stored: str | None = None,
 ) -> DataFrame:
-    """`bgp` with every pattern reading its reduction; the same solutions."""
-    inputs = [reduce_pattern(triples, pattern, patterns) for pattern in patterns]
+    """`bgp` with every pattern reading its reduction; the same solutions.
+
+    Reductions written below the path `stored` are read instead of computed.
+    """
+    known = {}
+    if stored is not None:
+        names = {n for pattern in patterns for n in reduction_names(pattern, patterns).values()}
+        known = read_stored(triples.sparkSession, stored, names, is_encoded(triples))
+    inputs = [reduce_pattern(triples, pattern, patterns, known) for pattern in patterns]
     return bgp(triples, patterns, select, allow_product, inputs)

@@ -12,6 +12,7 @@ from tripleweft.operators.patterns import Pattern
 from tripleweft.operators.reductions import read_pattern, reduce_pattern
 from tripleweft.operators.stats import count_results
 from tripleweft.plans.bgp import bgp
+from tripleweft.sources.properties import PropertyStore
 
 
 def pattern_table(spark: SparkSession, queries: Mapping[str, Sequence[Pattern]]) -> DataFrame:
@@ -26,7 +27,7 @@ def pattern_table(spark: SparkSession, queries: Mapping[str, Sequence[Pattern]])
     )
 
 
-def workload_report(triples: DataFrame, queries: Mapping[str, Sequence[Pattern]]) -> DataFrame:
+def workload_report(triples: DataFrame | PropertyStore, queries: Mapping[str, Sequence[Pattern]]) -> DataFrame:
     """Per query: results, input rows before and after reduction, and its shape.
 
     `query_id, n_results, original_rows, reduced_rows, max_joins, n_patterns`.

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleweft.functions.terms import is_encoded
+from tripleweft.functions.terms import is_encoded, position_equals
 
 RAW_SCHEMA = "s STRING, o STRING, p STRING"
 ENCODED_SCHEMA = "s BIGINT, o STRING, o_id BIGINT, p BIGINT"
 
+# Characters Spark writes as %XX in partition directories,
+# besides control characters.
+ESCAPED = "\"#%'*/:=?\\{}[]^\x7f"
+
 
 def write_properties(triples: DataFrame, path: str) -> None:
     """Write one Parquet partition per property in a single job.
@@ -41,9 +46,55 @@ def scan_properties(
     """Read all properties, or only the partitions of `props`.
 
     The schema is fixed, so no file is opened to learn it and property names
-    keep their type.
+    keep their type. Given properties are read by their directories: the
+    planner then sees their own size, not that of the whole store, and knows
+    when one is small enough to broadcast.
+    """
+    reader = spark.read.schema(ENCODED_SCHEMA if encoded else RAW_SCHEMA)
+    columns = ["s", "p", "o", *(["o_id"] if encoded else [])]
+    if props is None:
+        return reader.parquet(path).select(*columns)
+    wanted = list(props)
+    folders = [f"{path.rstrip('/')}/p={_escape(str(p))}" for p in wanted]
+    try:
+        table = reader.option("basePath", path).parquet(*folders)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        table = reader.parquet(path).where(F.col("p").isin(wanted))  # some are not stored
+    return table.select(*columns)
+
+
+def _escape(value: str) -> str:
+    return "".join(f"%{ord(c):02X}" if c in ESCAPED or c < " " else c for c in value)
+
+
+class PropertyStore:
+    """A stored property table as the source of queries and reductions.
+
+    It stands where a DataFrame of triples does; each pattern and partner
+    column then reads the directory of its own property.
     """
-    table = spark.read.schema(ENCODED_SCHEMA if encoded else RAW_SCHEMA).parquet(path)
-    if props is not None:
-        table = table.where(F.col("p").isin(list(props)))
-    return table.select("s", "p", "o", *(["o_id"] if encoded else []))
+
+    def __init__(self, spark: SparkSession, path: str, encoded: bool = True):
+        self.sparkSession = spark
+        self.path = path
+        self.encoded = encoded
+        self.table = scan_properties(spark, path, encoded=encoded)
+        self.columns = self.table.columns
+
+    def properties(self, props: Iterable) -> DataFrame:
+        return scan_properties(self.sparkSession, self.path, props, self.encoded)
+
+
+def all_rows(triples: DataFrame | PropertyStore) -> DataFrame:
+    """The whole table of a source."""
+    return triples.table if isinstance(triples, PropertyStore) else triples
+
+
+def rows_of(triples: DataFrame | PropertyStore, p) -> DataFrame:
+    """The rows of one property of a source."""
+    if isinstance(triples, PropertyStore) and p is not None:
+        return triples.properties([int(p) if triples.encoded else p])
+    table = all_rows(triples)
+    return table.where(position_equals(table, "p", p))

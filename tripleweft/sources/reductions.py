@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from tripleweft.functions.terms import is_encoded
 from tripleweft.session import broadcast_if_small
@@ -62,6 +65,18 @@ def write_reductions(reductions: DataFrame, path: str) -> DataFrame:
 
 def read_reduction(spark: SparkSession, path: str, name: str, encoded: bool = True) -> DataFrame:
     """The rows of one stored reduction; only its partition is read."""
-    stored = spark.read.schema(DATA_SCHEMA[encoded]).parquet(f"{path}/data")
-    wanted = (F.col("slot") == _slot(F.lit(name))) & (F.col("name") == F.lit(name))
-    return stored.where(wanted).drop("name", "slot")
+    slot = "r" + hashlib.sha256(name.encode()).hexdigest()
+    reader = spark.read.schema(DATA_SCHEMA[encoded]).option("basePath", f"{path}/data")
+    stored = reader.parquet(f"{path}/data/slot={slot}")
+    return stored.where(F.col("name") == name).drop("name", "slot")
+
+
+def read_stored(
+    spark: SparkSession, path: str, names: Iterable[str], encoded: bool = True
+) -> dict[str, DataFrame]:
+    """Those of the named reductions that are recorded, as tables by name."""
+    recorded = read_catalog(spark, path).where(F.col("name").isin(list(names))).select("name")
+    return {
+        row["name"]: read_reduction(spark, path, row["name"], encoded)
+        for row in recorded.collect()  # at most one row for each given name
+    }
