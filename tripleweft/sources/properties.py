@@ -15,7 +15,7 @@ ENCODED_SCHEMA = "s BIGINT, o STRING, o_id BIGINT, p BIGINT"
 
 # Characters Spark writes as %XX in partition directories,
 # besides control characters.
-ESCAPED = "\"#%'*/:=?\\{}[]^\x7f"
+ESCAPED = "\"#%'*/:=?\\{[]^\x7f"
 
 
 def write_properties(triples: DataFrame, path: str) -> None:
