@@ -568,7 +568,7 @@ _REDUCTIONS_SQL = "\nUNION ALL\n".join(
 
 def _workload_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = tw.pattern_table(spark, WORKLOAD)
-    return tw.workload_reductions(_raw(spark, sf_dir), patterns)
+    return tw.workload_reductions(_raw_property_store(spark, sf_dir), patterns)
 
 
 _register("f5_workload_reductions", _workload_reductions, _REDUCTIONS_SQL)
@@ -732,7 +732,7 @@ _register("h1_candidate_properties_all", _candidates(), "SELECT DISTINCT p FROM
 def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, o = _id(spark, sf_dir, customer(2)), _id(spark, sf_dir, customer(14))
     candidates = tw.candidate_properties(_filters(spark, sf_dir), s, o)
-    return tw.verify_properties(_store(spark, sf_dir), candidates, s, o)
+    return tw.verify_properties(_property_store(spark, sf_dir), candidates, s, o)
 
 
 _register(

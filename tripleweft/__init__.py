@@ -32,6 +32,7 @@ from tripleweft.operators.reductions import (
     reduce_subject,
     reduction_keys,
     reduction_names,
+    shared_keys,
     workload_reductions,
 )
 from tripleweft.operators.stats import (

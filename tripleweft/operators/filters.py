@@ -26,7 +26,8 @@ from tripleweft.functions.bits import (
 from tripleweft.functions.terms import is_literal_text, object_key, position_equals
 from tripleweft.operators.joins import semi_join
 from tripleweft.operators.layout import intersect_properties
-from tripleweft.session import broadcast_if_small, materialize
+from tripleweft.session import materialize
+from tripleweft.sources.properties import PropertyStore, all_rows, only_properties
 
 _COUNT_ERROR = 0.05  # relative error of the distinct counts that size Bloom filters
 _HEADROOM = 1.0 + 3 * _COUNT_ERROR
@@ -179,15 +180,13 @@ def _holding(filters: DataFrame, side: str, term) -> DataFrame:
 
 
 def verify_properties(
-    triples: DataFrame, candidates: DataFrame | None = None, s=None, o=None
+    triples: DataFrame | PropertyStore, candidates: DataFrame | None = None, s=None, o=None
 ) -> DataFrame:
-    """Candidates that have a triple with the constants, by reading them.
-
-    A size-checked broadcast of the candidates lets a table partitioned by
-    property read only theirs.
-    """
-    if candidates is not None:
-        triples = triples.join(broadcast_if_small(candidates), "p", "left_semi")
+    """Candidates that have a triple with the constants, by reading them."""
+    if candidates is None:
+        triples = all_rows(triples)
+    else:
+        triples = only_properties(triples, candidates)
     if s is not None:
         triples = triples.where(position_equals(triples, "s", s))
     if o is not None:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleweft.operators.patterns import Pattern, match_pattern
-from tripleweft.session import broadcast_if_small
+from tripleweft.sources.properties import PropertyStore, all_rows, only_properties
 
 # Repeating a row n times goes through arrays; two levels keep them short.
 _REPEAT_BLOCK = 65_536
@@ -51,7 +51,7 @@ def repeat_rows(rows: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def join_unbound_property(
-    triples: DataFrame,
+    triples: DataFrame | PropertyStore,
     pattern: Pattern,
     bindings: DataFrame,
     properties: DataFrame | None = None,
@@ -62,9 +62,8 @@ def join_unbound_property(
     All properties are read, or only those in `properties` (column `p`).
     """
     if properties is not None:
-        wanted = broadcast_if_small(properties.select("p").distinct())
-        triples = triples.join(wanted, "p", "left_semi")
-    return join_bindings(bindings, match_pattern(triples, pattern, node_vars))
+        triples = only_properties(triples, properties)
+    return join_bindings(bindings, match_pattern(all_rows(triples), pattern, node_vars))
 
 
 def semi_join(

@@ -8,7 +8,7 @@ queries of one shape can share it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,14 +18,13 @@ from tripleweft.functions.terms import (
     is_literal,
     is_resource,
     is_variable,
-    object_key,
     position_key,
 )
 from tripleweft.operators.filters import verify_properties
 from tripleweft.operators.joins import semi_join
 from tripleweft.operators.patterns import Pattern
 from tripleweft.session import broadcast_if_small, materialize
-from tripleweft.sources.properties import PropertyStore, all_rows, rows_of
+from tripleweft.sources.properties import PropertyStore, all_rows, only_properties, rows_of
 
 # How the columns of a reduction are named.
 ANY = "ANY"
@@ -44,19 +43,23 @@ def partner_keys(triples: DataFrame | PropertyStore, partner: tuple) -> DataFram
 
 def reduce_subject(prop: DataFrame, partners: Sequence[DataFrame]) -> DataFrame:
     """Rows whose subject occurs in every partner, a list of key columns."""
-    if not partners:
-        return prop
-    return semi_join(prop, F.col("s"), _common_keys(partners))
+    return _reduce(prop, "s", _common_keys(partners)) if partners else prop
 
 
 def reduce_object(prop: DataFrame, partners: Sequence[DataFrame]) -> DataFrame:
     """Rows whose object occurs in every partner; literal objects pass."""
-    if not partners:
-        return prop
-    resources = semi_join(
-        prop.where(~is_literal("o")), object_key(prop), _common_keys(partners)
-    )
-    return resources.unionByName(prop.where(is_literal("o")))
+    return _reduce(prop, "o", _common_keys(partners)) if partners else prop
+
+
+def _reduce(
+    rows: DataFrame, position: str, keys: DataFrame, node: Callable[[Column], Column] = lambda c: c
+) -> DataFrame:
+    """Rows whose node at `position` is in `keys`, a distinct set; literals pass."""
+    key = node(position_key(rows, position))
+    if position == "s":
+        return semi_join(rows, key, keys)
+    resources = semi_join(rows.where(~is_literal("o")), key, keys)
+    return resources.unionByName(rows.where(is_literal("o")))
 
 
 def _common_keys(partners: Sequence[DataFrame]) -> DataFrame:
@@ -112,14 +115,12 @@ def read_pattern(triples: DataFrame | PropertyStore, pattern: Pattern) -> DataFr
     s, p, o = pattern
     if not is_variable(p):
         return rows_of(triples, p)
-    triples = all_rows(triples)
     nodes = {name: t for name, t in (("s", s), ("o", o)) if is_resource(t)}
     if not nodes:
-        return triples
+        return all_rows(triples)
     if None in nodes.values():
-        return triples.where(F.lit(False))
-    # few properties hold one node; a checked broadcast prunes the partitions
-    return triples.join(broadcast_if_small(verify_properties(triples, **nodes)), "p", "left_semi")
+        return all_rows(triples).where(F.lit(False))
+    return only_properties(triples, verify_properties(triples, **nodes))
 
 
 def reduce_pattern(
@@ -127,11 +128,13 @@ def reduce_pattern(
     pattern: Pattern,
     patterns: Sequence[Pattern],
     stored: Mapping[str, DataFrame] | None = None,
+    shared: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """The rows a pattern reads, cut by all its partners in the query.
 
     `stored` holds reductions that exist already, by name: one of them is
-    read in place of the property.
+    read in place of the property. `shared` holds the key sets made by
+    `shared_keys`, for reducing all patterns of a query.
     """
     partners = find_partners(pattern, patterns)
     names = reduction_names(pattern, patterns)
@@ -141,19 +144,41 @@ def reduce_pattern(
         partners.pop(found[0])
     else:
         rows = read_pattern(triples, pattern)
-    columns = {
-        position: [partner_keys(triples, c) for c in found if c[0] is not OWN]
-        for position, found in partners.items()
-    }
-    rows = reduce_subject(rows, columns.get("s", []))
-    rows = reduce_object(rows, columns.get("o", []))
-    for position, found in partners.items():
-        for p, other in found:
-            if p is OWN:
-                rows = _reduce_within_property(rows, triples, position, other)
+    for position, columns in partners.items():
+        of_others = [c for c in columns if c[0] is not OWN]
+        if of_others:
+            name = pattern["spo".index(position)]
+            if shared is None:
+                keys = _common_keys([partner_keys(triples, c) for c in of_others])
+            else:
+                keys = shared[name]
+            rows = _reduce(rows, position, keys)
+        for _, other in (c for c in columns if c[0] is OWN):
+            rows = _reduce_within_property(rows, triples, position, other)
     return rows
 
 
+def shared_keys(
+    triples: DataFrame | PropertyStore, patterns: Sequence[Pattern]
+) -> dict[str, DataFrame]:
+    """Per variable, the nodes found in every column the query has it in.
+
+    A pattern's own column is among them, which changes nothing for its rows.
+    All patterns of a variable then join one and the same set, so Spark
+    computes it once and reuses its exchange.
+    """
+    columns: dict[str, dict[tuple, None]] = {}
+    for s, p, o in patterns:
+        prop = ANY if is_variable(p) else p
+        for term in dict.fromkeys((s, o)):
+            if is_variable(term):
+                columns.setdefault(term, {})[(prop, "s" if term == s else "o")] = None
+    return {
+        name: _common_keys([partner_keys(triples, c) for c in found])
+        for name, found in columns.items()
+    }
+
+
 def _reduce_within_property(
     rows: DataFrame, triples: DataFrame, position: str, other: str
 ) -> DataFrame:
@@ -163,11 +188,9 @@ def _reduce_within_property(
         .select(F.struct("p", position_key(triples, other).alias("node")).alias("key"))
         .where("key.node IS NOT NULL")
     )
-    own = F.struct("p", position_key(rows, position).alias("node"))
-    if position == "s":
-        return semi_join(rows, own, keys.distinct())
-    resources = semi_join(rows.where(~is_literal("o")), own, keys.distinct())
-    return resources.unionByName(rows.where(is_literal("o")))
+    return _reduce(
+        rows, position, keys.distinct(), lambda node: F.struct(F.col("p"), node.alias("node"))
+    )
 
 
 def reduction_keys(patterns: DataFrame, properties: DataFrame | None = None) -> DataFrame:
@@ -282,74 +305,114 @@ def _definitions(patterns: DataFrame, properties: DataFrame | None) -> DataFrame
     )
 
 
-def workload_reductions(triples: DataFrame | PropertyStore, patterns: DataFrame) -> DataFrame:
+def workload_reductions(
+    triples: DataFrame | PropertyStore, patterns: DataFrame
+) -> DataFrame:
     """Every distinct reduction of a workload, computed once: `name` + triples.
 
     The number of jobs and shuffles does not depend on how many reductions
     there are. The columns a node occurs in are gathered per node; a node
     survives a reduction if they include all partners; the rows of the
-    surviving nodes are the reduction.
+    surviving nodes are the reduction. Columns and reductions are numbered, so
+    that what is shuffled per node and row is numbers, not names.
     """
-    triples = all_rows(triples)
-    properties = triples.select("p").distinct()
-    wanted = materialize(
-        _definitions(patterns, properties)
-        .select(_name().alias("name"), "col", "own", "partners")
-        .distinct(),
-        "reductions",
-    )
-    owns = wanted.select(F.col("own").alias("tag")).distinct()
-    used = wanted.select(
-        F.explode(F.array_union(F.array("own"), F.col("partners"))).alias("tag")
-    ).distinct()
-    used = materialize(used, "reduction-tags")
+    table = all_rows(triples)
+    p_type = table.schema["p"].dataType
+    wanted, columns = _numbered(_definitions(patterns, table.select("p").distinct()), p_type)
 
     survivors = (
-        _mentions(triples, used)
+        _mentions(triples, columns)
         .groupBy("key")
-        .agg(F.collect_set("tag").alias("tags"))
-        .withColumn("own", F.explode("tags"))
-        .join(wanted.drop("col"), "own")
-        .where(F.size(F.array_except("partners", "tags")) == 0)
-        .select("name", F.col("own").alias("tag"), "key")
+        .agg(F.collect_set("column").alias("columns"))
+        .withColumn("own", F.explode("columns"))
+        .join(wanted.select("reduction", "own", "partners"), "own")
+        .where(F.size(F.array_except("partners", "columns")) == 0)
+        .select("reduction", F.col("own").alias("column"), "key")
+    )
+    own_columns = columns.join(wanted.select(F.col("own").alias("column")), "column", "left_semi")
+    own_rows = _by_column(triples, own_columns, "inner")
+    kept = own_rows.where("key IS NOT NULL").join(survivors, ["column", "key"])
+    # literals cannot be partners and pass every reduction of their column
+    literals = own_rows.where("key IS NULL").join(
+        wanted.select("reduction", F.col("own").alias("column")), "column"
     )
-    owned = _of_properties(triples, owns)
-    rows = _tagged(owned, any_tags=False).join(materialize(owns, "reduction-owns"), "tag")
-    kept = rows.join(survivors, ["tag", "key"]).select("name", *triples.columns)
-
-    object_reductions = wanted.where("col = 'o'").select("name", F.col("own").alias("tag"))
-    literals = (
-        owned.where(is_literal("o"))
-        .withColumn("tag", F.concat(F.col("p").cast("string"), F.lit(TAG["o"])))
-        .join(object_reductions, "tag")
-        .select("name", *triples.columns)
+    found = kept.select("reduction", *table.columns).unionByName(
+        literals.select("reduction", *table.columns)
     )
-    return kept.unionByName(literals)
+    return found.join(wanted.select("reduction", "name"), "reduction").select(
+        "name", *table.columns
+    )
+
 
+def _numbered(definitions: DataFrame, p_type) -> tuple[DataFrame, DataFrame]:
+    """Distinct reductions and the columns they name, numbered and written.
 
-def _mentions(triples: DataFrame, used: DataFrame) -> DataFrame:
-    any_tags = not used.where(F.col("tag").isin([ANY + tag for tag in TAG.values()])).isEmpty()
-    if not any_tags:
-        triples = _of_properties(triples, used)
-    return _tagged(triples, any_tags).select("tag", "key").join(used, "tag", "left_semi")
+    Both tables are as small as the workload's vocabulary: `reduction, name,
+    own, partners` and `column, p, side, is_any`. A constant the dictionary
+    does not know has no p either, and no rows. Numbers are unique, not dense,
+    and fixed by the writing.
+    """
+    distinct = definitions.select(_name().alias("name"), "own", "partners").distinct()
+    distinct = materialize(
+        distinct.withColumn("reduction", F.monotonically_increasing_id()), "workload"
+    )
+    tag = F.explode(F.array_union(F.array("own"), F.col("partners"))).alias("tag")
+    prop = F.regexp_replace("tag", "_TRP[SO]$", "")
+    columns = materialize(
+        distinct.select(tag)
+        .distinct()
+        .select(
+            F.monotonically_increasing_id().alias("column"),
+            "tag",
+            F.when(prop != ANY, prop).try_cast(p_type).alias("p"),
+            (prop == ANY).alias("is_any"),
+            F.lower(F.right("tag", F.lit(1))).alias("side"),
+        ),
+        "workload-columns",
+    )
+    numbers = columns.select("column", "tag")
+    wanted = (
+        distinct.withColumn("tag", F.explode("partners"))
+        .join(numbers, "tag")
+        .groupBy("reduction", "name", F.col("own").alias("own_tag"))
+        .agg(F.collect_set("column").alias("partners"))
+        .join(numbers.select(F.col("column").alias("own"), F.col("tag").alias("own_tag")), "own_tag")
+        .select("reduction", "name", "own", "partners")
+    )
+    return materialize(wanted, "workload"), columns
 
 
-def _of_properties(triples: DataFrame, tags: DataFrame) -> DataFrame:
-    """Only the properties the tags name, so that other partitions are not read."""
-    name = F.regexp_replace("tag", "_TRP[SO]$", "").cast(triples.schema["p"].dataType)
-    return triples.join(broadcast_if_small(tags.select(name.alias("p")).distinct()), "p", "left_semi")
+def _mentions(triples: DataFrame | PropertyStore, columns: DataFrame) -> DataFrame:
+    """`column, key`: each node with the numbered columns it occurs in."""
+    of_any = {row["side"]: row["column"] for row in columns.where("is_any").collect()}  # s, o
+    if not of_any:
+        rows = _by_column(triples, columns, "inner")
+    else:
+        # every triple counts for ANY, whether or not its property is named
+        rows = _by_column(triples, columns, "left", of_any)
+    return rows.select("column", "key").where("key IS NOT NULL")
 
 
-def _tagged(triples: DataFrame, any_tags: bool) -> DataFrame:
-    """Each triple once per column it puts a node into: `tag, key` + triple."""
-    p = F.col("p").cast("string")
-    names = [p, F.lit(ANY)] if any_tags else [p]
+def _by_column(
+    triples: DataFrame | PropertyStore,
+    columns: DataFrame,
+    how: str,
+    of_any: Mapping[str, int] | None = None,
+) -> DataFrame:
+    """Each triple once per numbered column it belongs to: `column, key` + triple."""
+    numbers = (
+        columns.where("p IS NOT NULL")
+        .groupBy("p")
+        .agg(*[F.max(F.when(F.col("side") == c, F.col("column"))).alias(f"_{c}") for c in "so"])
+    )
+    rows = only_properties(triples, numbers) if how == "inner" else all_rows(triples)
+    named = [(c, F.col(f"_{c}")) for c in "so"]
+    named += [(c, F.lit(number).cast("bigint")) for c, number in (of_any or {}).items()]
     sides = [
-        F.struct(
-            F.concat(name, F.lit(TAG[position])).alias("tag"),
-            position_key(triples, position).alias("key"),
-        )
-        for name in names
-        for position in "so"
+        F.struct(number.alias("column"), position_key(rows, c).alias("key")) for c, number in named
     ]
-    return triples.select("*", F.inline(F.array(*sides))).where("key IS NOT NULL")
+    return (
+        rows.join(broadcast_if_small(numbers), "p", how)
+        .select(*rows.columns, F.inline(F.array(*sides)))
+        .where("column IS NOT NULL")
+    )

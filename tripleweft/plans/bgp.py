@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from tripleweft.functions.terms import is_encoded, is_variable
 from tripleweft.operators.joins import join_bindings
 from tripleweft.operators.patterns import Pattern, match_pattern, node_variables, variables
-from tripleweft.operators.reductions import reduce_pattern, reduction_names
+from tripleweft.operators.reductions import reduce_pattern, reduction_names, shared_keys
 from tripleweft.sources.properties import PropertyStore, all_rows, rows_of
 from tripleweft.sources.reductions import read_stored
 
@@ -75,5 +75,6 @@ def reduced_bgp(
     if stored is not None:
         names = {n for pattern in patterns for n in reduction_names(pattern, patterns).values()}
         known = read_stored(triples.sparkSession, stored, names, is_encoded(triples))
-    inputs = [reduce_pattern(triples, pattern, patterns, known) for pattern in patterns]
+    keys = shared_keys(triples, patterns)
+    inputs = [reduce_pattern(triples, pattern, patterns, known, keys) for pattern in patterns]
     return bgp(triples, patterns, select, allow_product, inputs)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleweft.operators.patterns import Pattern
-from tripleweft.operators.reductions import read_pattern, reduce_pattern
+from tripleweft.operators.reductions import read_pattern, reduce_pattern, shared_keys
 from tripleweft.operators.stats import count_results
 from tripleweft.plans.bgp import bgp
 from tripleweft.sources.properties import PropertyStore
@@ -39,11 +39,11 @@ def workload_report(triples: DataFrame | PropertyStore, queries: Mapping[str, Se
     counts = []
     for query_id, patterns in queries.items():
         counts.append(_count(query_id, "n_results", bgp(triples, patterns)))
+        keys = shared_keys(triples, patterns)
         for pattern in patterns:
             counts.append(_count(query_id, "original_rows", read_pattern(triples, pattern)))
-            counts.append(
-                _count(query_id, "reduced_rows", reduce_pattern(triples, pattern, patterns))
-            )
+            reduced = reduce_pattern(triples, pattern, patterns, shared=keys)
+            counts.append(_count(query_id, "reduced_rows", reduced))
     measures = ["n_results", "original_rows", "reduced_rows"]
     totals = (
         reduce(DataFrame.unionByName, counts)

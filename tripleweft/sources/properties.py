@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleweft.functions.terms import is_encoded, position_equals
+from tripleweft.session import broadcast_if_small
+
+MAX_LISTED = 1000  # properties named one by one in a scan
 
 RAW_SCHEMA = "s STRING, o STRING, p STRING"
 ENCODED_SCHEMA = "s BIGINT, o STRING, o_id BIGINT, p BIGINT"
@@ -87,6 +90,23 @@ class PropertyStore:
         return scan_properties(self.sparkSession, self.path, props, self.encoded)
 
 
+def only_properties(triples: DataFrame | PropertyStore, properties: DataFrame) -> DataFrame:
+    """The rows of the properties in `properties` (column `p`).
+
+    A short list, which is the usual case, becomes a constant filter, so that
+    other partitions are not even listed. A long one is joined.
+    """
+    wanted = properties.select("p").distinct()
+    first = [row["p"] for row in wanted.limit(MAX_LISTED + 1).collect()]
+    if len(first) > MAX_LISTED:
+        return all_rows(triples).join(broadcast_if_small(wanted), "p", "left_semi")
+    if not first:
+        return all_rows(triples).where(F.lit(False))
+    if isinstance(triples, PropertyStore):
+        return triples.properties(first)
+    return triples.where(F.col("p").isin(first))
+
+
 def all_rows(triples: DataFrame | PropertyStore) -> DataFrame:
     """The whole table of a source."""
     return triples.table if isinstance(triples, PropertyStore) else triples
