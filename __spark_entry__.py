@@ -645,7 +645,7 @@ def _in_filter(spark: SparkSession, sf_dir: str, probe, build) -> DataFrame:
     knows = store.where((F.col("p") == _id(spark, sf_dir, KNOWS)) & (F.col("s") != F.col("o_id")))
     ids = knows.select(F.col("s").alias("key"))
     found = probe(store, "o_id", build(ids))
-    return tw.semi_join(found, F.col("o_id"), ids.distinct())
+    return tw.semi_join(found, F.col("o_id"), ids)
 
 
 _IN_FILTER_SQL = f"""SELECT s, p, o, o_id FROM enc WHERE o_id IN (SELECT s FROM enc

@@ -69,15 +69,15 @@ def join_unbound_property(
 def semi_join(
     rows: DataFrame, key: Column, keys: DataFrame, residual: Column | None = None
 ) -> DataFrame:
-    """Rows whose `key` occurs in the `key` column of `keys`.
+    """Rows whose `key` occurs in the `key` column of `keys`, which may repeat.
 
-    The join is on the key and its hash. `keys` usually ends in an aggregate
-    on `key`; joining on `key` alone would reuse the aggregate's partitioning
-    and keep adaptive execution from splitting a hot key of `rows`. With the
-    hash both sides get their own exchange, and the sort compares numbers
-    before it compares text.
+    The join is on the key and its hash. `keys` is made distinct by an
+    aggregate on the key; a join on the key alone would read it without an
+    exchange of its own, and adaptive execution splits a hot key of `rows`
+    only between two exchanges. With the hash both sides get one, and the sort
+    compares numbers before it compares text.
     """
-    right = keys.withColumnRenamed("key", "_right_key")
+    right = keys.distinct().withColumnRenamed("key", "_right_key")
     other = F.col("_right_key")
     condition = (F.xxhash64(key) == F.xxhash64(other)) & (key == other)
     if residual is not None:

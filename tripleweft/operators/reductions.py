@@ -54,7 +54,7 @@ def reduce_object(prop: DataFrame, partners: Sequence[DataFrame]) -> DataFrame:
 def _reduce(
     rows: DataFrame, position: str, keys: DataFrame, node: Callable[[Column], Column] = lambda c: c
 ) -> DataFrame:
-    """Rows whose node at `position` is in `keys`, a distinct set; literals pass."""
+    """Rows whose node at `position` is in `keys`; literals pass."""
     key = node(position_key(rows, position))
     if position == "s":
         return semi_join(rows, key, keys)
@@ -65,7 +65,10 @@ def _reduce(
 def _common_keys(partners: Sequence[DataFrame]) -> DataFrame:
     # The key sets are intersected first: they are distinct, so they have no
     # hot keys, and share one partitioning. The big side is then joined once.
-    sets = [keys.toDF("key").distinct() for keys in partners]
+    sets = [keys.toDF("key") for keys in partners]
+    if len(sets) == 1:
+        return sets[0]
+    sets = [keys.distinct() for keys in sets]
     return reduce(lambda a, b: a.join(b, "key", "left_semi"), sets)
 
 
@@ -189,7 +192,7 @@ def _reduce_within_property(
         .where("key.node IS NOT NULL")
     )
     return _reduce(
-        rows, position, keys.distinct(), lambda node: F.struct(F.col("p"), node.alias("node"))
+        rows, position, keys, lambda node: F.struct(F.col("p"), node.alias("node"))
     )
 
 
