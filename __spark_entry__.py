@@ -7,11 +7,15 @@ dictionary-encoded property store and decode their results.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 import tripleweft as tw
 from tripleweft.fixtures import EX, TRIPLES_SQL, star_triples
 from tripleweft.session import scratch_path

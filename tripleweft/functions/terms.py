@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 POSITIONS = ("s", "p", "o")
 
+UNKNOWN_ID = -1  # stands for a constant the dictionary lacks; no term has it
+
 
 def is_variable(term) -> bool:
     """True for pattern terms such as "?x"."""
@@ -46,9 +48,7 @@ def position_key(triples: DataFrame, position: str) -> Column:
 
 
 def position_equals(triples: DataFrame, position: str, term) -> Column:
-    """Filter for a constant. `None` is a term unknown to the dictionary."""
-    if term is None:
-        return F.lit(False)
+    """Filter for a constant."""
     if not is_encoded(triples):
         return F.col(position) == F.lit(term)
     if position == "o" and is_literal_text(term):

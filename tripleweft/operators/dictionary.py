@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripleweft.functions.terms import is_literal, is_resource, object_key
+from tripleweft.functions.terms import UNKNOWN_ID, is_literal, is_resource, object_key
 from tripleweft.session import broadcast_if_small, materialize
 
 _ROW_BITS = (1 << 33) - 1  # row number part of monotonically_increasing_id
@@ -123,11 +123,14 @@ def encode_patterns(patterns: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def encode_query(patterns: Sequence[tuple], dictionary: DataFrame) -> list[tuple]:
-    """The patterns of one query with ids for constants, None for unknown ones."""
+    """The patterns of one query with ids for constants, UNKNOWN_ID if they have none."""
     constants = {t for pattern in patterns for t in pattern if is_resource(t)}
     found = dictionary.where(F.col("term").isin(list(constants))).select("term", "id")
     ids = {row["term"]: row["id"] for row in found.collect()}  # one row per constant at most
-    return [tuple(ids.get(t) if is_resource(t) else t for t in pattern) for pattern in patterns]
+    return [
+        tuple(ids.get(t, UNKNOWN_ID) if is_resource(t) else t for t in pattern)
+        for pattern in patterns
+    ]
 
 
 def decode_bindings(

@@ -39,8 +39,7 @@ def match_pattern(
     """Bindings of one pattern: one column per variable, one row per match.
 
     `pattern` is `(s, p, o)`; "?x" is a variable and everything else a
-    constant (text on raw triples, ids or literal text on encoded ones, None
-    for a term without id). A repeated variable is an equality filter.
+    constant: text on raw triples, ids or literal text on encoded ones. A repeated variable is an equality filter.
     `node_vars` names variables that other patterns bind to nodes.
     """
     node_vars = node_variables([pattern]) if node_vars is None else node_vars

@@ -121,8 +121,6 @@ def read_pattern(triples: DataFrame | PropertyStore, pattern: Pattern) -> DataFr
     nodes = {name: t for name, t in (("s", s), ("o", o)) if is_resource(t)}
     if not nodes:
         return all_rows(triples)
-    if None in nodes.values():
-        return all_rows(triples).where(F.lit(False))
     return only_properties(triples, verify_properties(triples, **nodes))
 
 
@@ -204,7 +202,7 @@ def reduction_keys(patterns: DataFrame, properties: DataFrame | None = None) ->
     pattern with a variable predicate is named once for each property in
     `properties` (column `p`), or once as ANY without that list.
     """
-    return _definitions(patterns, properties).select(
+    return _expand(_occurrences(patterns), properties).select(
         "query_id", "pattern_id", "col", _name().alias("name")
     )
 
@@ -213,8 +211,12 @@ def _name() -> Column:
     return F.concat_ws(JOIN, F.col("own"), F.col("partners"))
 
 
-def _definitions(patterns: DataFrame, properties: DataFrame | None) -> DataFrame:
-    """`query_id, pattern_id, col, own, partners` with tags as text."""
+def _occurrences(patterns: DataFrame) -> DataFrame:
+    """Each pattern's columns with a variable, and the tags of other columns.
+
+    `query_id, pattern_id, col, p, unbound, first, tags`: `first` is the side
+    the pattern itself counts for, and p is ANY if it is a variable.
+    """
 
     def is_var(name: str) -> Column:
         return F.startswith(F.col(name), F.lit("?"))
@@ -273,37 +275,46 @@ def _definitions(patterns: DataFrame, properties: DataFrame | None) -> DataFrame
     ).where("var IS NOT NULL")
     own = own.join(per_variable, ["query_id", "var"])
 
-    bound = own.where("NOT unbound")
-    unbound = own.where("unbound")
-    if properties is None:
-        unbound = unbound.withColumn("p", F.lit(ANY))
-    else:
-        # one entry per property of the data: the size of a schema
-        names = properties.agg(F.collect_set(F.col("p").cast("string")).alias("names")).scalar()
-        unbound = unbound.withColumn("p", F.explode(names))
-
-    # An unbound pattern speaks for the property read, on its first side.
+    # ANY is another pattern's if more unbound patterns count than this one.
     first = F.when(F.col("loop"), F.lit("s")).otherwise(F.col("col"))
-    mine = F.when(
-        F.col("unbound"),
-        F.concat(F.col("p"), F.when(first == "s", F.lit(TAG["s"])).otherwise(F.lit(TAG["o"]))),
-    )
-    others_s = F.col("any_s") - F.when(F.col("unbound") & (first == "s"), 1).otherwise(0)
-    others_o = F.col("any_o") - F.when(F.col("unbound") & (first == "o"), 1).otherwise(0)
-    extra = F.array(
-        F.when(others_s > 0, F.lit(ANY + TAG["s"])),
-        F.when(others_o > 0, F.lit(ANY + TAG["o"])),
-        mine,
-    )
-    own_tag = F.concat(
-        F.col("p"), F.when(F.col("col") == "s", F.lit(TAG["s"])).otherwise(F.lit(TAG["o"]))
-    )
-    partners = F.array_sort(
-        F.array_except(F.array_union(F.col("tags"), F.array_compact(extra)), F.array(own_tag))
+    of_any = [
+        F.when(
+            F.col(f"any_{c}") > F.when(F.col("unbound") & (first == c), 1).otherwise(0),
+            F.lit(ANY + TAG[c]),
+        )
+        for c in "so"
+    ]
+    return own.select(
+        "query_id",
+        "pattern_id",
+        "col",
+        F.when(F.col("unbound"), F.lit(ANY)).otherwise(F.col("p")).alias("p"),
+        "unbound",
+        first.alias("first"),
+        F.array_sort(F.array_union("tags", F.array_compact(F.array(*of_any)))).alias("tags"),
     )
+
+
+def _expand(occurrences: DataFrame, properties: DataFrame | None) -> DataFrame:
+    """Adds `own, partners`, the tags that make up a name.
+
+    An unbound pattern speaks for the property it reads, and is repeated for
+    each of `properties`.
+    """
+    if properties is not None:
+        # the property names of the data, the size of a schema
+        names = properties.agg(F.collect_set(F.col("p").cast("string")).alias("names")).scalar()
+        expanded = occurrences.where("unbound").withColumn("p", F.explode(names))
+        occurrences = occurrences.where("NOT unbound").unionByName(expanded)
+
+    def tag(side: str) -> Column:
+        return F.concat("p", F.when(F.col(side) == "s", TAG["s"]).otherwise(TAG["o"]))
+
+    mine = F.when(F.col("unbound"), F.array(tag("first"))).otherwise(F.array().cast("array<string>"))
+    partners = F.array_except(F.array_union("tags", mine), F.array(tag("col")))
     return (
-        bound.unionByName(unbound)
-        .select("query_id", "pattern_id", "col", own_tag.alias("own"), partners.alias("partners"))
+        occurrences.withColumn("own", tag("col"))
+        .withColumn("partners", F.array_sort(partners))
         .where(F.size("partners") > 0)
     )
 
@@ -321,7 +332,8 @@ def workload_reductions(
     """
     table = all_rows(triples)
     p_type = table.schema["p"].dataType
-    wanted, columns = _numbered(_definitions(patterns, table.select("p").distinct()), p_type)
+    shapes = _occurrences(patterns).drop("query_id", "pattern_id").distinct()
+    wanted, columns = _numbered(_expand(shapes, table.select("p").distinct()), p_type)
 
     survivors = (
         _mentions(triples, columns)

@@ -12,14 +12,24 @@ from pyspark.sql import functions as F
 # most this many rows. Beyond it the hint is left out and Spark shuffles.
 BROADCAST_ROWS = 100_000
 
+SHUFFLE_BYTES = 1 << 30  # input per shuffle partition, before columns are pruned
 
-def configure(spark: SparkSession) -> SparkSession:
+
+def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
     """Set the run-time options the joins of this package rely on.
 
     Star queries join many inputs on one key. By default Spark gives up
     splitting a hot key there because it would cost another exchange; a key
     with a third of all rows is far worse than that exchange.
+
+    `input_bytes`, the size of the triples, raises the number of shuffle
+    partitions so that one stays within an executor's memory; adaptive
+    execution merges those that turn out small. It is never lowered.
     """
+    if input_bytes is not None:
+        wanted = -(-input_bytes // SHUFFLE_BYTES)
+        if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
