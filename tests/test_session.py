@@ -7,15 +7,18 @@ from tripleweft.session import SHUFFLE_BYTES, broadcast_if_small, scratch_dir
 
 
 def test_configure_only_raises_the_number_of_partitions(spark):
-    key = "spark.sql.shuffle.partitions"
+    key, advised = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     before = spark.conf.get(key)
     try:
         tw.configure(spark, 10)
         assert spark.conf.get(key) == before
         tw.configure(spark, 1000 * SHUFFLE_BYTES + 1)
-        assert spark.conf.get(key) == "1001"
+        assert spark.conf.get(key) == "1001" and spark.conf.get(advised) == str(64 << 20)
+        tw.configure(spark, 100 << 40)
+        assert 64 << 20 < int(spark.conf.get(advised)) < 512 << 20
     finally:
         spark.conf.set(key, before)
+        spark.conf.unset(advised)
     assert spark.conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin") == "true"
 
 

@@ -93,20 +93,19 @@ def probe_exact(df: DataFrame, col: str, filter: DataFrame) -> DataFrame:
 
 def probe_bloom(df: DataFrame, col: str, filter: DataFrame) -> DataFrame:
     """Rows of `df` whose id in `col` may be in the filter; none is missed."""
-    size = filter.agg(_single("n_buckets").alias("n_buckets")).scalar()
-    probes = filter.agg(_single("n_probes").alias("n_probes")).scalar()
+    shape = filter.agg(F.struct(_single("n_buckets"), _single("n_probes")).alias("shape")).scalar()
     words = filter.select(F.col("bucket").alias("key"), F.col("bits").alias("_bits"))
-    mask = bloom_mask(F.col(col), F.col("_probes"))
-    rows = df.withColumn("_size", size).withColumn("_probes", probes)
-    bucket = bloom_bucket(F.col(col), F.col("_size"))
-    found = semi_join(rows, bucket, words, holds(F.col("_bits"), mask))
-    return found.drop("_size", "_probes")
+    rows = df.withColumn("_shape", shape)
+    bucket = bloom_bucket(F.col(col), F.col("_shape.n_buckets"))
+    mask = bloom_mask(F.col(col), F.col("_shape.n_probes"))
+    return semi_join(rows, bucket, words, holds(F.col("_bits"), mask)).drop("_shape")
 
 
 def _single(column: str) -> Column:
     mixed = F.raise_error(F.lit(f"the filter mixes different values of {column}"))
     low, high = F.min(column), F.max(column)
-    return F.when(low == high, high).when(low.isNull(), F.lit(1)).otherwise(mixed.cast("bigint"))
+    value = F.when(low == high, high).when(low.isNull(), F.lit(1)).otherwise(mixed.cast("bigint"))
+    return value.alias(column)
 
 
 def union_filters(a: DataFrame, b: DataFrame) -> DataFrame:

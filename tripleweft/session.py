@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 SHUFFLE_BYTES = 1 << 30  # input per shuffle partition, before columns are pruned
+MAX_FILES = 400_000  # aim for fewer files than this in one table
 
 
 def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
@@ -24,9 +25,12 @@ def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSessi
 
     `input_bytes`, the size of the triples, raises the number of shuffle
     partitions so that one stays within an executor's memory; adaptive
-    execution merges those that turn out small. It is never lowered.
+    execution merges those that turn out small. It also raises the size that
+    merged and rebalanced partitions, and so the files written, are given.
     """
     if input_bytes is not None:
+        advised = min(max(input_bytes // MAX_FILES, 64 << 20), 512 << 20)
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(advised))
         wanted = -(-input_bytes // SHUFFLE_BYTES)
         if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
             spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
