@@ -827,6 +827,18 @@ def entry(spark: SparkSession) -> DataFrame:
     return _QUERIES["d7_bgp_minimum"](spark, "/root/testdata/sf0.001")
 
 
+try:  # the corpus operators are a subpackage of their own, which may be left out
+    import corpus_pipeline
+    from tripleweft.llm.queries import ORACLES, QUERIES
+except ImportError:
+    pass
+else:
+    _QUERIES |= QUERIES | {"pipeline": corpus_pipeline.run}
+    _ORACLES |= ORACLES
+    if corpus_pipeline.ORACLE_SQL:
+        _ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def queries() -> dict[str, Query]:
     """One entry per operator; each takes (spark, sf_dir)."""
     return dict(_QUERIES)
