@@ -14,15 +14,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleweft.llm.arrays import SHINGLE, U64, Words, mix, shingles, slices
 from tripleweft.llm.components import connected_components
 from tripleweft.llm.runtime import materialize, prepare
+from tripleweft.session import broadcast_if_small
 
 PERCENT = 75  # least similarity of linked texts
 BANDS, ROWS = 40, 5  # two texts at 0.75 share no band with a chance of 2 in 100,000
+BROADCAST_IDS = 1_000_000  # ids of candidates, 8 bytes each; more of them are joined by a shuffle
 _BINS = BANDS * ROWS
 
 
@@ -90,11 +92,12 @@ def minhash_bands(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs `a, b` whose full shingle sets are similar enough.
+def measure(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """`a, b, n_a, n_b, shared, added` for pairs `a, b`, on their full shingle sets.
 
-    `texts` has `doc_id, text`. The texts themselves are joined, as they are
-    smaller than their sets; a hub's partners are split over tasks.
+    `added` are the hashes that `b` has and `a` has not. `texts` has `doc_id,
+    text`; the texts are joined, as they are smaller than their sets, and a
+    hub's partners are split over tasks.
     """
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -102,27 +105,59 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text_a"):
             mine, theirs = _sets(part.column("text_a")), _sets(part.column("text_b"))
-            close = []
-            for x, y in zip(mine, theirs, strict=True):
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                shared = 0
-                if len(small) and 100 * len(small) >= percent * len(large):
-                    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    shared = int((large[at] == small).sum())
-                close.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
-            yield part.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
+            added = [np.setdiff1d(y, x, assume_unique=True) for x, y in zip(mine, theirs, strict=True)]
+            n_a, n_b, n_added = ([len(s) for s in sets] for sets in (mine, theirs, added))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *part.select(["a", "b"]).columns, pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()),
+                    pa.array(np.subtract(n_b, n_added), pa.int64()), pa.array([x.view(np.int64) for x in added], pa.list_(pa.int64())),
+                ],
+                ["a", "b", "n_a", "n_b", "shared", "added"],
+            )
 
     kind = dict(texts.dtypes)["doc_id"]
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
+    schema = f"a {kind}, b {kind}, n_a bigint, n_b bigint, shared bigint, added array<bigint>"
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
+
+
+def _similar(percent: int) -> Column:
+    return 100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))
+
+
+def _across(placed: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
+    """The pairs `a < b` of different components in one bucket that may be linked.
+
+    `placed` has `bucket, hub, node, component, n, shared`, with `shared` the
+    size of a member's intersection with its hub. Two members either share
+    something the hub has not, and are found by that, or their intersection
+    lies in the hub's set and is at most the smaller of theirs with it. Pairs
+    for which this bound is too small are not made.
+    """
+    alike = placed.where(100 * F.col("shared") >= percent * F.col("n"))
+    other = alike.select("bucket", *[F.col(c).alias("other_" + c) for c in ("node", "component", "n", "shared")])
+    bound = (100 + percent) * F.least("shared", "other_shared") >= percent * (F.col("n") + F.col("other_n"))
+    inside = alike.join(other, (alike["bucket"] == other["bucket"]) & F.expr("component < other_component") & bound)
+    inside = inside.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
+
+    members = placed.select("hub", "node", "component", "n").distinct()
+    beyond = measured.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.explode("added").alias("shingle"))
+    beyond = beyond.join(members, ["hub", "node"])
+    several = beyond.groupBy("hub", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    beyond = materialize(beyond.join(several.select("hub", "shingle"), ["hub", "shingle"], "left_semi"), "beyond")
+    partner = beyond.toDF("hub", "node", "shingle", "other_component", "other_n").withColumnRenamed("node", "other_node")
+    fit = F.expr("component < other_component") & (100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n"))
+    outside = beyond.join(partner, ["hub", "shingle"]).where(fit)
+    outside = outside.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
+    return inside.unionByName(outside).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """`doc_id, n_shingles, component_id, kept` for every row of `doc_id, text`.
 
     Texts with equal sets form a class, and one member stands for it. Buckets
-    give star edges to their smallest member; where a bucket still holds
-    several components, its pairs across components are tried too, so a hub
-    that resembles nobody loses no link. Components are those of the confirmed
+    give star edges to the member with most company; where a bucket still holds
+    several components, the pairs across them that the hub does not rule out
+    are tried too, so a hub that resembles nobody loses no link. Components are those of the confirmed
     links; the smallest doc_id stays.
 
     Texts without words, and null ones, have no shingles and are linked with
@@ -137,23 +172,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*keys).agg(F.min("doc_id").alias("node")), "classes"
     )
     nodes = signed.join(classes.withColumnRenamed("node", "doc_id"), [*keys, "doc_id"])
-    members = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket")).distinct()
-    hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(members.join(hubs, "bucket").select("bucket", "node", "hub"), "buckets")
-    stars = materialize(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    ends = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    members = nodes.select(F.col("doc_id").alias("node"), "n_shingles", F.explode("bands").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(members.join(sizes, "bucket"), "buckets")
+    # the hub is the member with most company: of near copies, most likely the text they were made from
+    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
+    hubs = shared.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("hub"))
+    placed = materialize(shared.join(hubs.select("bucket", F.col("hub.node").alias("hub")), "bucket").where("node <> hub"), "placed")
+    stars = materialize(placed.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    ends = materialize(stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+    ends = broadcast_if_small(ends, BROADCAST_IDS)
     texts = materialize(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi"), "candidates")
-    links = materialize(confirm(stars, texts, percent), "confirmed")
+    measured = materialize(measure(stars, texts), "measured")
+    links = measured.where(_similar(percent)).select("a", "b")
     labels = materialize(connected_components(links), "components")
 
-    # pairs across the components of a bucket, other than those just tried
-    placed = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # members of one bucket but several components
+    to_hub = measured.groupBy(F.col("a").alias("hub"), F.col("b").alias("node")).agg(F.max("shared").alias("shared"))
+    placed = placed.select("bucket", "hub", "node", F.col("n_shingles").alias("n")).join(to_hub, ["hub", "node"])
+    placed = placed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    left = materialize(placed.join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", "node", "component"), "mixed")
-    right = left.select("bucket", F.col("node").alias("other"), F.col("component").alias("other_component"))
-    across = left.join(right, "bucket").where("component < other_component")
-    pairs = across.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    more = materialize(confirm(pairs.join(stars, ["a", "b"], "left_anti"), texts, percent), "confirmed")
+    placed = materialize(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
+    more = measure(_across(placed, measured, percent), texts)
+    more = materialize(more.where(_similar(percent)).select("a", "b"), "confirmed")
     if not more.isEmpty():
         labels = materialize(connected_components(links.unionByName(more)), "components")
 
