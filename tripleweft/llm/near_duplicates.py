@@ -134,9 +134,9 @@ def _across(placed: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
     for which this bound is too small are not made.
     """
     alike = placed.where(100 * F.col("shared") >= percent * F.col("n"))
-    other = alike.select("bucket", *[F.col(c).alias("other_" + c) for c in ("node", "component", "n", "shared")])
+    other = alike.select(F.col("bucket").alias("other_bucket"), *[F.col(c).alias("other_" + c) for c in ("node", "component", "n", "shared")])
     bound = (100 + percent) * F.least("shared", "other_shared") >= percent * (F.col("n") + F.col("other_n"))
-    inside = alike.join(other, (alike["bucket"] == other["bucket"]) & F.expr("component < other_component") & bound)
+    inside = alike.join(other, F.expr("bucket = other_bucket AND component < other_component") & bound)
     inside = inside.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
 
     members = placed.select("hub", "node", "component", "n").distinct()
@@ -144,7 +144,7 @@ def _across(placed: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
     beyond = beyond.join(members, ["hub", "node"])
     several = beyond.groupBy("hub", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     beyond = materialize(beyond.join(several.select("hub", "shingle"), ["hub", "shingle"], "left_semi"), "beyond")
-    partner = beyond.toDF("hub", "node", "shingle", "other_component", "other_n").withColumnRenamed("node", "other_node")
+    partner = beyond.select("hub", "shingle", *[F.col(c).alias("other_" + c) for c in ("node", "component", "n")])
     fit = F.expr("component < other_component") & (100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n"))
     outside = beyond.join(partner, ["hub", "shingle"]).where(fit)
     outside = outside.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
