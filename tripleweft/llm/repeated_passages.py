@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from tripleweft.llm.arrays import U64, Words, slices, windows, within
 from tripleweft.llm.runtime import materialize, prepare
+from tripleweft.session import broadcast_if_small
 
 WINDOW = 50
 _ANCHOR = 25
 SKETCH_ROWS, CELLS_PER_ANCHOR = 2, 4
+BROADCAST_IDS = 1_000_000  # ids of candidates, 8 bytes each; more of them are joined by a shuffle
 
 
 def _anchors(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -176,7 +178,11 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     anchors = facts.select(*keys, "doc_id", "anchors").join(leaders, [*keys, "doc_id"], "left_semi")
     anchors = materialize(anchors.select("doc_id", F.explode("anchors").alias("anchor")).distinct(), "anchors")
     listed = repeated_anchors(anchors).groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    texts = materialize(docs.select("doc_id", "text").where("text IS NOT NULL").join(listed, "doc_id"), "candidates")
+    listed = materialize(listed, "listed")
+    # where the ids are few enough to broadcast, only candidates' texts are shuffled
+    few = broadcast_if_small(listed.select("doc_id"), BROADCAST_IDS)
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(few, "doc_id", "left_semi")
+    texts = materialize(texts.join(listed, "doc_id"), "candidates")
 
     found = _candidate_windows(texts)
     groups = found.groupBy("a", "b").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
