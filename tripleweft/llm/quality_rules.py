@@ -103,15 +103,16 @@ def adaptive_fences(rates: DataFrame) -> DataFrame:
     groups = rates.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_all"))
     own = materialize(_sketched(rates.where("NOT base_failed"), ["lang", "source"], merge=False), "sketches")
     by_lang, by_all = _sketched(own, ["lang"], merge=True), _sketched(own, [], merge=True)
-    s, g, a = _quartiles(own, ["lang", "source"], "s_"), _quartiles(by_lang, ["lang"], "g_"), _quartiles(by_all, [], "a_")
+    s, g = _quartiles(own, ["lang", "source"], "s_"), _quartiles(by_lang, ["lang"], "g_")
+    of_all = _quartiles(by_all, [], "a_").select(F.struct(*["a_" + name for name in SPREADS])).scalar()
     joined = (
         groups.join(s, F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source")), "left")
         .join(g, F.col("lang").eqNullSafe(F.col("g_lang")), "left")
-        .join(F.broadcast(a), F.lit(True), "left")  # one row
+        .withColumn("a", of_all)
     )
 
     def fence(name: str) -> Column:
-        q = F.when(F.col("s_n") >= MIN_GROUP, F.col("s_" + name)).when(F.col("g_n") >= MIN_GROUP, F.col("g_" + name)).otherwise(F.col("a_" + name))
+        q = F.when(F.col("s_n") >= MIN_GROUP, F.col("s_" + name)).when(F.col("g_n") >= MIN_GROUP, F.col("g_" + name)).otherwise(F.col("a")["a_" + name])
         room = FENCE * F.greatest(q["high"] - q["low"], F.lit(SPREADS[name]))
         return F.struct((q["low"] - room).alias("low"), (q["high"] + room).alias("high")).alias(name)
 
