@@ -139,14 +139,24 @@ def _across(placed: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
     inside = alike.join(other, F.expr("bucket = other_bucket AND component < other_component") & bound)
     inside = inside.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
 
-    members = placed.select("hub", "node", "component", "n").distinct()
+    members = placed.select("hub", "node", "component", "n", "shared").distinct()
     beyond = measured.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.explode("added").alias("shingle"))
     beyond = beyond.join(members, ["hub", "node"])
-    several = beyond.groupBy("hub", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    beyond = materialize(beyond.join(several.select("hub", "shingle"), ["hub", "shingle"], "left_semi"), "beyond")
-    partner = beyond.select("hub", "shingle", *[F.col(c).alias("other_" + c) for c in ("node", "component", "n")])
-    fit = F.expr("component < other_component") & (100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n"))
-    outside = beyond.join(partner, ["hub", "shingle"]).where(fit)
+    held = beyond.groupBy("hub", "shingle").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"),
+        F.count(F.lit(1)).alias("holders"), F.bit_xor(F.xxhash64("node")).alias("who"),
+    ).where("low < high")
+    # an edit changes several shingles; those that the same members hold are one key
+    key = ["hub", "holders", "who"]
+    beyond = beyond.join(held.select("shingle", *key), ["hub", "shingle"])
+    beyond = materialize(beyond.groupBy(*key, "node", "component", "n", "shared").agg(F.count(F.lit(1)).alias("k")), "beyond")
+    # what two members share beyond the hub is at most what either shares with anyone there
+    common = beyond.groupBy("hub", "node").agg(F.sum("k").alias("common"))
+    beyond = beyond.join(common, ["hub", "node"])
+    partner = beyond.select(*key, *[F.col(c).alias("other_" + c) for c in ("node", "component", "n", "shared", "common")])
+    most = F.least("shared", "other_shared") + F.least("common", "other_common")
+    fit = F.expr("component < other_component") & ((100 + percent) * most >= percent * (F.col("n") + F.col("other_n")))
+    outside = beyond.join(partner, key).where(fit)
     outside = outside.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
     return inside.unionByName(outside).distinct()
 
