@@ -157,6 +157,17 @@ _register("a1_read_ntriples", _round_trip_ntriples("space", " "), "SELECT s, p,
 _register("a1_read_ntriples_tab", _round_trip_ntriples("tab", "\t"), "SELECT s, p, o FROM triples")
 
 
+def _mixed_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "nt")
+    mixed = F.regexp_replace("value", "> ", ">\t")
+    commented = F.concat(mixed, F.when(F.pmod(F.xxhash64("value"), F.lit(3)) == 0, ' # a "note" .').otherwise(""))
+    _statements(_raw(spark, sf_dir), " ").select(commented.alias("value")).write.text(path)
+    return tw.read_ntriples(spark, path, mode="fail")
+
+
+_register("a1_read_ntriples_mixed", _mixed_ntriples, "SELECT s, p, o FROM triples")
+
+
 def _read_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "encoded")
     tw.write_encoded(_store(spark, sf_dir), path)
@@ -416,6 +427,26 @@ _register(
     f"""SELECT a.s AS o, a.o AS c, b.p AS p, b.o AS v FROM triples a JOIN triples b ON a.o = b.s
 WHERE a.p = '{PLACED}'""",
 )
+
+
+def _join_enc(first: tuple, second: tuple) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        enc, dictionary = _store(spark, sf_dir), _dictionary(spark, sf_dir)
+        a, b = tw.encode_query([first, second], dictionary)
+        found = tw.join_bindings(tw.match_pattern(enc, a), tw.match_pattern(enc, b))
+        return tw.decode_bindings(found, dictionary)
+
+    return run
+
+
+# ids on one side, text on the other where an object may be a literal
+for _name, _patterns in {
+    "d1_join_one": (("?o", PLACED, "?c"), ("?c", NATION, "?n")),
+    "d3_join_three": (("?x", "?p", "?y"), ("?x", "?p", "?y")),
+    "d6_join_unbound_property": (("?o", PLACED, "?c"), ("?c", "?p", "?v")),
+}.items():
+    _register(_name + "_enc", _join_enc(*_patterns))
+    _ORACLES[_name + "_enc"] = _ORACLES[_name]
 _both(
     "d6_unbound_constant_subject", UNBOUND, ["p", "o"],
     f"""SELECT a.p AS p, a.o AS o FROM triples a JOIN triples b ON a.o = b.o

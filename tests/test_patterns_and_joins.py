@@ -143,3 +143,15 @@ def test_unbound_property_with_candidates(spark, raw):
     expected = [b for b in solve_by_hand([("?x", "b", "?y"), ("?y", "?p", "?v")]) if b["p"] == "c"]
     assert bag(found.select("x", "y", "p", "v")) == sorted(
         (tuple(b[n] for n in "xypv") for b in expected), key=repr)
+
+
+def test_joins_on_encoded_literals_and_ids(spark):
+    triples = spark.createDataFrame(
+        [("a", "p", "b"), ("a", "p", '"text"'), ("b", "q", "c")], "s STRING, p STRING, o STRING")
+    dictionary = tw.build_dictionary(triples)
+    enc = tw.encode_triples(triples, dictionary)
+    left, right = tw.encode_query([("?a", "p", "?x"), ("?x", "q", "?n")], dictionary)
+    found = tw.join_bindings(tw.match_pattern(enc, left), tw.match_pattern(enc, right))
+    assert bag(tw.decode_bindings(found, dictionary, ["a", "x", "n"]).select("a", "x", "n")) == [("a", "b", "c")]
+    other = tw.join_unbound_property(enc, ("?x", "?y", "?n"), tw.match_pattern(enc, left))
+    assert bag(tw.decode_bindings(other, dictionary).select("x", "y", "n")) == [("b", "q", "c")]

@@ -162,3 +162,39 @@ def test_scratch_folder_comes_from_the_session(spark):
 @pytest.mark.parametrize("col", ["s", "o"])
 def test_partition_by_keeps_rows(sample, col, n):
     assert bag(tw.partition_by(sample, col, n)) == bag(sample)
+
+
+def test_ntriples_mixed_blanks_and_comments(spark, tmp_path):
+    lines = [
+        '<a> <p>\t"x y" .', "<a>\t<p>\t<b>\t.", "<a><p><b>.", '<a> <p> <b> . # note "x" .', '<a><p>"v"@en.#x',
+        '<a> <p> "say "hi" there" .', "<a> <p> _:b1.", "<a> <p> .", "broken", "# comment", "\t",
+    ]
+    (tmp_path / "mixed.nt").write_text("\n".join(lines) + "\n")
+    path = str(tmp_path / "mixed.nt")
+    assert bag(tw.read_ntriples(spark, path)) == sorted([
+        ("a", "p", '"x y"'), ("a", "p", "b"), ("a", "p", "b"), ("a", "p", "b"), ("a", "p", '"v"@en'),
+        ("a", "p", '"say "hi" there"'), ("a", "p", "_:b1"),
+    ], key=repr)
+    assert sorted(r["value"] for r in tw.refused_lines(spark, path).collect()) == ["<a> <p> .", "broken"]
+    with pytest.raises(Exception, match="not a statement"):
+        tw.read_ntriples(spark, path, mode="fail").collect()
+
+
+def test_encoding_with_an_old_dictionary(spark):
+    triples = spark.createDataFrame(
+        [("a", "p", "b"), ("new", "p", '"v"'), ("a", "newp", "b"), ("a", "p", "newo")], "s STRING, p STRING, o STRING")
+    dictionary = tw.build_dictionary(triples.where("s = 'a' AND p = 'p' AND o = 'b'"))
+    with pytest.raises(Exception, match="not in the dictionary: new"):
+        tw.encode_triples(triples, dictionary).collect()
+    assert [r["o"] for r in tw.encode_triples(triples, dictionary, unknown="drop").orderBy("o").collect()] == ["2", "newo"]
+
+
+def test_half_written_slot_of_another_workload(spark, tmp_path):
+    schema = "name STRING, s STRING, p STRING, o STRING"
+    path = str(tmp_path / "reductions")
+    tw.write_reductions(spark.createDataFrame([("whole", "a", "p", "b"), ("half", "a", "p", "b")], schema), path)
+    catalog = spark.read.parquet(f"{path}/catalog").where("name <> 'half'")
+    rows = [tuple(r) for r in catalog.collect()]
+    spark.createDataFrame(rows, catalog.schema).write.mode("overwrite").parquet(f"{path}/catalog")  # as if that run had died
+    tw.write_reductions(spark.createDataFrame([("other", "c", "q", "d")], schema), path)
+    assert {r["name"] for r in tw.read_catalog(spark, path).collect()} == {"whole", "other"}

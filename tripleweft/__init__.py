@@ -49,6 +49,7 @@ from tripleweft.sources.ntriples import (
     read_encoded,
     read_ntriples,
     read_prefixes,
+    refused_lines,
     write_encoded,
 )
 from tripleweft.sources.properties import PropertyStore, scan_properties, write_properties

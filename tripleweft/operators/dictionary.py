@@ -62,18 +62,28 @@ def _number(terms: DataFrame, offset: Column) -> DataFrame:
     )
 
 
-def encode_triples(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
+def encode_triples(triples: DataFrame, dictionary: DataFrame, unknown: str = "fail") -> DataFrame:
     """`s, p, o, o_id` with ids for terms; literals stay text with a null id.
 
     Predicates are few: their ids are looked up first and written, and Spark
     broadcasts them if that table is small. Literal rows skip the shuffle on
-    the object.
+    the object. A subject or predicate the dictionary lacks raises an error
+    that names it; with `unknown="drop"` its triples are left out. A resource
+    object it lacks stays text.
     """
+    if unknown not in ("fail", "drop"):
+        raise ValueError(f"unknown is fail or drop, not {unknown!r}")
+    how = "left" if unknown == "fail" else "inner"
+
+    def known(number: str, term: str) -> Column:
+        missing = F.raise_error(F.concat(F.lit("not in the dictionary: "), F.col(term))).cast("bigint")
+        return F.when(F.col(number).isNotNull() | F.col(term).isNull(), F.col(number)).otherwise(missing)
+
     predicates = materialize(triples.select(F.col("p").alias("term")).distinct(), "predicates")
     predicate_ids = materialize(dictionary.join(predicates, "term", "left_semi"), "predicate-ids")
     rows = triples.join(
-        predicate_ids.select(F.col("id").alias("p_id"), F.col("term").alias("p")), "p"
-    ).select("s", F.col("p_id").alias("p"), "o")
+        predicate_ids.select(F.col("id").alias("p_id"), F.col("term").alias("p")), "p", how
+    ).select("s", known("p_id", "p").alias("p"), "o")
 
     literals = rows.where(is_literal("o")).withColumn("o_id", F.lit(None).cast("bigint"))
     resources = (
@@ -84,8 +94,8 @@ def encode_triples(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
     subjects = dictionary.select(F.col("id").alias("s_id"), F.col("term").alias("s"))
     return (
         literals.unionByName(resources)
-        .join(subjects, "s")
-        .select(F.col("s_id").alias("s"), "p", "o", "o_id")
+        .join(subjects, "s", how)
+        .select(known("s_id", "s").alias("s"), "p", "o", "o_id")
     )
 
 

@@ -16,12 +16,15 @@ def join_bindings(a: DataFrame, b: DataFrame, allow_product: bool = False) -> Da
     """Inner equi-join on every shared variable.
 
     Bindings without columns come from a fully bound pattern and only carry a
-    number of matches: each row of the other side is repeated that often. Two
+    number of matches: each row of the other side is repeated that often. A
+    variable that one side binds as an id and the other as text, as an object
+    that may be a literal, is joined as an id. Two
     sides that share nothing make a cartesian product, which is refused
     unless it is asked for.
     """
     shared = [name for name in a.columns if name in b.columns]
     if shared:
+        a, b = _same_kind(a, b, shared)
         return a.join(b, shared)
     if not b.columns:
         return repeat_rows(a, b)
@@ -35,6 +38,16 @@ def join_bindings(a: DataFrame, b: DataFrame, allow_product: bool = False) -> Da
     return a.crossJoin(b)
 
 
+def _same_kind(a: DataFrame, b: DataFrame, shared: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ids where one has ids and the other text; literals drop out."""
+    kinds = dict(a.dtypes), dict(b.dtypes)
+    for name in shared:
+        if {kinds[0][name], kinds[1][name]} == {"bigint", "string"}:
+            as_id = F.col(name).try_cast("bigint")
+            a, b = (side.withColumn(name, as_id) if kind[name] == "string" else side for side, kind in zip((a, b), kinds, strict=True))
+    return a, b
+
+
 def repeat_rows(rows: DataFrame, matches: DataFrame) -> DataFrame:
     """Each row as often as `matches` has rows; none if it has none."""
     n = matches.agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -5,34 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Field separators by name, as regular expressions.
-SEPARATORS = {"space": " +", "tab": "\t+"}
+# Subject and predicate, then an object, a final dot and perhaps a comment.
+# Blanks may be spaces or tabs and may be missing where a bracket or a quote
+# ends a term. A literal ends at its quote; one with bare quotes inside, which
+# is not valid, ends at the last one before the dot.
+_NODE = r'(?:<([^<>"]*)>|([^\s<>"#]\S*)(?=\s))'
+_TAG = r"(?:@[A-Za-z0-9-]+|\^\^<[^<>]*>|\^\^[^\s<>\".]+)?"
+_LITERAL = rf'("[^"\\]*+(?:\\.[^"\\]*+)*+"{_TAG}|".*"{_TAG})'
+_STATEMENT = rf'^\s*{_NODE}\s*{_NODE}\s*(?:<([^<>"]*)>|([^\s<>"#]\S*?)|{_LITERAL})\s*\.\s*(?:#.*)?$'
+_NO_STATEMENT = r"^\s*(?:#.*)?$"
 
 
-def read_ntriples(spark: SparkSession, path: str, sep: str = "space") -> DataFrame:
-    """`s, p, o` from N-Triples files, one statement per line ending in `.`.
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).where(~F.rlike("value", F.lit(_NO_STATEMENT)))
 
-    Angle brackets are taken off; the object is the rest of the line, so
-    literals keep their spaces, quotes, tags and datatypes. Blank lines,
-    comment lines and malformed lines are skipped.
-    """
-    line = F.regexp_replace(F.col("value"), r"^\s+|\s+$", "")
-    statement = F.regexp_replace(F.col("line"), r"\s*\.$", "")
-    fields = F.split(F.col("statement"), SEPARATORS[sep], 3)
-    parsed = (
-        spark.read.text(path)
-        .select(line.alias("line"))
-        .where(F.endswith("line", F.lit(".")) & ~F.startswith("line", F.lit("#")))
-        .select(statement.alias("statement"))
-        .select(fields.alias("f"))
-        .where(F.size("f") == 3)
-        .select(*[_unwrap(F.col("f")[i]).alias(name) for i, name in enumerate("spo")])
-    )
-    return parsed.where("s <> '' AND p <> '' AND o <> ''")
 
+def read_ntriples(spark: SparkSession, path: str, sep: str | None = None, mode: str = "skip") -> DataFrame:
+    """`s, p, o` from N-Triples files, one statement per line ending in `.`.
 
-def _unwrap(term: Column) -> Column:
-    return F.regexp_replace(term, "^<(.*)>$", "$1")
+    Angle brackets are taken off; literals keep their spaces, quotes, tags and
+    datatypes. Spaces and tabs may separate terms in any mixture, so `sep`
+    makes no difference and is kept for callers that name one. Blank lines and
+    comments are no statements. Other lines that are not read are skipped,
+    and `refused_lines` returns them; with `mode="fail"` they raise an error.
+    """
+    if mode not in ("skip", "fail"):
+        raise ValueError(f"mode is skip or fail, not {mode!r}")
+    line = F.col("value")
+
+    def group(*numbers: int) -> Column:
+        found = [F.nullif(F.regexp_extract(line, _STATEMENT, k), F.lit("")) for k in numbers]
+        return F.coalesce(*found)
+
+    read = F.rlike(line, F.lit(_STATEMENT))
+    lines = _lines(spark, path)
+    if mode == "fail":
+        refused = F.raise_error(F.concat(F.lit("not a statement: "), line)).cast("boolean")
+        read = F.when(read, F.lit(True)).otherwise(refused)
+    parsed = lines.where(read).select(group(1, 2).alias("s"), group(3, 4).alias("p"), group(5, 6, 7).alias("o"))
+    return parsed.where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL")
+
+
+def refused_lines(spark: SparkSession, path: str) -> DataFrame:
+    """`value`: the lines that `read_ntriples` skips and that are neither blank nor comments."""
+    return _lines(spark, path).where(~F.rlike("value", F.lit(_STATEMENT)))
 
 
 def read_encoded(spark: SparkSession, path: str) -> DataFrame:

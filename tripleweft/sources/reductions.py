@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -14,8 +15,8 @@ from tripleweft.session import broadcast_if_small
 
 CATALOG_SCHEMA = "name STRING, n_rows BIGINT"
 DATA_SCHEMA = {
-    False: "name STRING, s STRING, p STRING, o STRING, slot STRING",
-    True: "name STRING, s BIGINT, p BIGINT, o STRING, o_id BIGINT, slot STRING",
+    False: "name STRING, s STRING, p STRING, o STRING, run STRING, slot STRING",
+    True: "name STRING, s BIGINT, p BIGINT, o STRING, o_id BIGINT, run STRING, slot STRING",
 }
 
 
@@ -40,11 +41,13 @@ def write_reductions(reductions: DataFrame, path: str) -> DataFrame:
     Reductions come as one table with their `name`. Their rows are written
     first and recorded afterwards. If a run dies in between, the next one
     finds nothing recorded and overwrites just those partitions, so nothing
-    is stored twice. An empty reduction has no rows, hence no record.
+    is stored twice. Rows carry the call that wrote them, and only this call's
+    are recorded, never what a dead run of another workload left half-written.
+    An empty reduction has no rows, hence no record.
     """
-    spark = reductions.sparkSession
+    spark, run = reductions.sparkSession, uuid.uuid4().hex
     recorded = broadcast_if_small(read_catalog(spark, path).select("name"))
-    new = reductions.join(recorded, "name", "left_anti").withColumn("slot", _slot(F.col("name")))
+    new = reductions.join(recorded, "name", "left_anti").withColumns({"run": F.lit(run), "slot": _slot(F.col("name"))})
     (
         new.hint("rebalance", F.col("slot"))
         .sortWithinPartitions("slot", "s")
@@ -54,11 +57,7 @@ def write_reductions(reductions: DataFrame, path: str) -> DataFrame:
         .parquet(f"{path}/data")
     )
     stored = spark.read.schema(DATA_SCHEMA[is_encoded(reductions)]).parquet(f"{path}/data")
-    sizes = (
-        stored.join(recorded.select(_slot(F.col("name")).alias("slot")), "slot", "left_anti")
-        .groupBy("name")
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-    )
+    sizes = stored.where(F.col("run") == run).groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"))
     sizes.write.mode("append").parquet(f"{path}/catalog")
     return read_catalog(spark, path)
 
@@ -68,7 +67,7 @@ def read_reduction(spark: SparkSession, path: str, name: str, encoded: bool = Tr
     slot = "r" + hashlib.sha256(name.encode()).hexdigest()
     reader = spark.read.schema(DATA_SCHEMA[encoded]).option("basePath", f"{path}/data")
     stored = reader.parquet(f"{path}/data/slot={slot}")
-    return stored.where(F.col("name") == name).drop("name", "slot")
+    return stored.where(F.col("name") == name).drop("name", "run", "slot")
 
 
 def read_stored(
