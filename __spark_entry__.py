@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -743,6 +744,41 @@ _register(
 WHERE d.term IN ('{customer(0)}', '{customer(2)}', '{EX}nation/3', '{SELF}')""",
 )
 
+
+def _rate_row(nodes: DataFrame, members: DataFrame, built: DataFrame) -> DataFrame:
+    """Over all nodes: members missed, and whether at most twice the asked rate of others is kept."""
+    kept = tw.probe_bloom(nodes, "id", built).withColumn("kept", F.lit(True))
+    marked = nodes.join(members.distinct().withColumn("member", F.lit(True)), "id", "left").join(kept, "id", "left")
+    member, passed = F.col("member").isNotNull(), F.col("kept").isNotNull()
+    return marked.agg(
+        F.count_if(member & ~passed).alias("missed"),
+        (F.count_if(~member & passed) <= 0.02 * F.count_if(~member)).alias("rate_held"),
+    )
+
+
+def _bloom_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = _side(spark, sf_dir, PLACED, "s")
+    return _rate_row(_dictionary(spark, sf_dir).select("id"), members, tw.build_bloom_filter(members, 0.01))
+
+
+def _all_bloom_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for the subject filter of every property that the filters name."""
+    filters, nodes = _filters(spark, sf_dir, "bloom"), _dictionary(spark, sf_dir).select("id")
+    rows = []
+    for prop in _PROPERTIES:
+        p = _id(spark, sf_dir, prop)
+        own = filters.where((F.col("p") == p) & (F.col("col") == "s")).drop("p", "col")
+        rows.append(_rate_row(nodes, _side(spark, sf_dir, prop, "s"), own).withColumn("p", F.lit(prop)))
+    return reduce(DataFrame.unionByName, rows)
+
+
+_register("g2_bloom_rate", _bloom_rate, "SELECT CAST(0 AS BIGINT) AS missed, count(*) > 0 AS rate_held FROM triples")
+_register(
+    "g6_bloom_rate_all", _all_bloom_rate,
+    f"""SELECT p, CAST(0 AS BIGINT) AS missed, count(*) > 0 AS rate_held FROM triples
+WHERE p IN ({", ".join(f"'{p}'" for p in _PROPERTIES)}) GROUP BY p""",
+)
+
 # ---------------------------------------------------------------- candidates
 
 

@@ -28,22 +28,17 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-# The 32 sample triples, written as in an N-Triples file.
-R = "http://twitter.com/resources/"
+# A small graph of painters and works, written as in an N-Triples file.
+R = "http://museum.example/"
 SAMPLE = [
-    *[(f"Tweet{i}", "hasText", text) for i, text in
-      ((1, '"Tweet1"@en'), (2, '"Tweet2"@fr'), (3, '"Tweet3"'), (4, '"Tweet4"'))],
-    *[(f"Tweet{i}", prop, f'"{i}0.{i}0"') for prop in ("hasLatitude", "hasLongitude")
-      for i in (1, 2, 3, 4)],
-    ("John", "mention", "Mary"), ("Mary", "mention", "Mary"),
-    ("John", "mention", "Mike"), ("Alex", "mention", "Mary"),
-    ("John", "tweet", "Tweet1"), ("Mike", "tweet", "Tweet2"),
-    ("Mike", "tweet", "Tweet3"), ("Alex", "tweet", "Tweet4"),
-    ("Alex", "lives", "NYC"), ("Mike", "lives", "Atlanta"), ("Sam", "lives", "Indianapolis"),
-    ("Alex", "friends", "John"), ("Mike", "friends", "Alex"), ("Sam", "friends", "Alex"),
-    ("Sam", "friends", "Mike"), ("John", "friends", "Mike"),
-    ("Alex", "likes", "Tweet1"), ("Mike", "likes", "Tweet2"),
-    ("Sam", "likes", "Tweet3"), ("Sam", "likes", "Tweet4"),
+    ("Dawn", "title", '"Dawn"@en'), ("Dusk", "title", '"Schemer"@nl'), ("Noon", "title", '"Noon"'),
+    ("Ada", "born", '"1901"'), ("Bo", "born", '"1910"'), ("Cy", "born", '"1920"'),
+    ("Ada", "paints", "Dawn"), ("Bo", "paints", "Dusk"), ("Bo", "paints", "Noon"),
+    ("Ada", "teaches", "Bo"), ("Bo", "teaches", "Cy"), ("Cy", "teaches", "Cy"), ("Di", "teaches", "Bo"),
+    ("Ada", "admires", "Bo"), ("Ada", "admires", "Di"), ("Bo", "admires", "Cy"),
+    ("Eve", "admires", "Ada"), ("Eve", "admires", "Dawn"),
+    ("Dawn", "hangsIn", "East"), ("Dusk", "hangsIn", "West"), ("Noon", "hangsIn", "East"),
+    ("Di", "owns", "Dawn"), ("Di", "owns", "Dusk"), ("Eve", "owns", "Noon"),
 ]
 
 

@@ -18,6 +18,7 @@ from tripleweft.functions.terms import (
     is_literal,
     is_resource,
     is_variable,
+    position_equals,
     position_key,
 )
 from tripleweft.operators.filters import verify_properties
@@ -34,10 +35,17 @@ JOIN = "_JOIN_"
 OWN = object()  # partner property: the one the row itself belongs to
 
 
-def partner_keys(triples: DataFrame | PropertyStore, partner: tuple) -> DataFrame:
-    """Nodes in one column of one property, or of all for the property ANY."""
+def partner_keys(
+    triples: DataFrame | PropertyStore, partner: tuple, constants: Sequence[tuple] = ()
+) -> DataFrame:
+    """Nodes in one column of one property, or of all for the property ANY.
+
+    `constants` are pairs of a position and the term the rows have there.
+    """
     p, position = partner
     rows = all_rows(triples) if p == ANY else rows_of(triples, p)
+    for held, term in constants:
+        rows = rows.where(position_equals(rows, held, term))
     return rows.select(position_key(rows, position).alias("key")).where("key IS NOT NULL")
 
 
@@ -133,19 +141,17 @@ def reduce_pattern(
 ) -> DataFrame:
     """The rows a pattern reads, cut by all its partners in the query.
 
-    `stored` holds reductions that exist already, by name: one of them is
-    read in place of the property. `shared` holds the key sets made by
-    `shared_keys`, for reducing all patterns of a query.
+    `stored` holds reductions that exist already, by name, the smaller ones
+    first: the first that fits is read in place of the property and not cut
+    again. `shared` holds the key sets made by `shared_keys`, for reducing all
+    patterns of a query.
     """
-    partners = find_partners(pattern, patterns)
-    names = reduction_names(pattern, patterns)
-    found = [position for position, name in names.items() if name in (stored or {})]
-    if found:
-        rows = stored[names[found[0]]]
-        partners.pop(found[0])
-    else:
-        rows = read_pattern(triples, pattern)
-    for position, columns in partners.items():
+    fitting = set(reduction_names(pattern, patterns).values()) if stored else set()
+    for name, rows in (stored or {}).items():
+        if name in fitting:
+            return rows
+    rows = read_pattern(triples, pattern)
+    for position, columns in find_partners(pattern, patterns).items():
         of_others = [c for c in columns if c[0] is not OWN]
         if of_others:
             name = pattern["spo".index(position)]
@@ -160,22 +166,25 @@ def reduce_pattern(
 
 
 def shared_keys(
-    triples: DataFrame | PropertyStore, patterns: Sequence[Pattern]
+    triples: DataFrame | PropertyStore, patterns: Sequence[Pattern], constants: bool = False
 ) -> dict[str, DataFrame]:
     """Per variable, the nodes found in every column the query has it in.
 
     A pattern's own column is among them, which changes nothing for its rows.
     All patterns of a variable then join one and the same set, so Spark
-    computes it once and reuses its exchange.
+    computes it once and reuses its exchange. With `constants`, a pattern's
+    column has only the rows with the pattern's constants: smaller sets that
+    serve just this query, as stored reductions must not.
     """
     columns: dict[str, dict[tuple, None]] = {}
     for s, p, o in patterns:
         prop = ANY if is_variable(p) else p
+        held = tuple((c, t) for c, t in (("s", s), ("o", o)) if constants and not is_variable(t))
         for term in dict.fromkeys((s, o)):
             if is_variable(term):
-                columns.setdefault(term, {})[(prop, "s" if term == s else "o")] = None
+                columns.setdefault(term, {})[((prop, "s" if term == s else "o"), held)] = None
     return {
-        name: _common_keys([partner_keys(triples, c) for c in found])
+        name: _common_keys([partner_keys(triples, *c) for c in found])
         for name, found in columns.items()
     }
 

@@ -69,12 +69,14 @@ def reduced_bgp(
 ) -> DataFrame:
     """`bgp` with every pattern reading its reduction; the same solutions.
 
-    Reductions written below the path `stored` are read instead of computed.
+    Reductions written below the path `stored` are read instead of computed:
+    for each pattern the smaller one recorded, which is not cut any further.
     """
     known = {}
     if stored is not None:
         names = {n for pattern in patterns for n in reduction_names(pattern, patterns).values()}
         known = read_stored(triples.sparkSession, stored, names, is_encoded(triples))
-    keys = shared_keys(triples, patterns)
+    live = [q for q in patterns if not known.keys() & set(reduction_names(q, patterns).values())]
+    keys = shared_keys(triples, patterns, constants=True) if live else {}
     inputs = [reduce_pattern(triples, pattern, patterns, known, keys) for pattern in patterns]
     return bgp(triples, patterns, select, allow_product, inputs)

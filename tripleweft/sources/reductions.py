@@ -73,8 +73,8 @@ def read_reduction(spark: SparkSession, path: str, name: str, encoded: bool = Tr
 def read_stored(
     spark: SparkSession, path: str, names: Iterable[str], encoded: bool = True
 ) -> dict[str, DataFrame]:
-    """Those of the named reductions that are recorded, as tables by name."""
-    recorded = read_catalog(spark, path).where(F.col("name").isin(list(names))).select("name")
+    """Those of the named reductions that are recorded, as tables by name, the smaller first."""
+    recorded = read_catalog(spark, path).where(F.col("name").isin(list(names))).orderBy("n_rows", "name")
     return {
         row["name"]: read_reduction(spark, path, row["name"], encoded)
         for row in recorded.collect()  # at most one row for each given name
