@@ -613,8 +613,9 @@ _register("f5_workload_reductions", _workload_reductions, _REDUCTIONS_SQL)
 def _stored_reductions(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     path = scratch_path(spark, "reductions")
     half = _workload_reductions(spark, sf_dir)
-    tw.write_reductions(half.where(F.startswith("name", F.lit(PLACED))), path)
-    return path, tw.write_reductions(half, path)
+    store = _raw_property_store(spark, sf_dir)
+    tw.write_reductions(half.where(F.startswith("name", F.lit(PLACED))), path, store)
+    return path, tw.write_reductions(half, path, store)
 
 
 _register(
@@ -625,7 +626,8 @@ _STORED = (PLACED, "o", [("ANY", "s"), (SEGMENT, "s")])
 _register(
     "a7_read_reduction",
     lambda spark, sf_dir: tw.read_reduction(
-        spark, _stored_reductions(spark, sf_dir)[0], _reduction_name(*_STORED), encoded=False),
+        spark, _stored_reductions(spark, sf_dir)[0], _reduction_name(*_STORED), encoded=False,
+        version=tw.version_of(_raw_property_store(spark, sf_dir))),
     f"SELECT s, p, o FROM ({_reduction_sql(*_STORED)}) AS r",
 )
 _both("f6_reduced_bgp", MINIMUM, ["o", "c", "n"], _MINIMUM_SQL, reduced=True)
@@ -645,11 +647,24 @@ def _solve_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tw.reduced_bgp(_raw_property_store(spark, sf_dir), WORKLOAD["chain"], stored=path)
 
 
-_register(
-    "f6_reduced_bgp_stored", _solve_stored,
-    f"""SELECT a.s AS o, a.o AS sup, b.o AS n, r.o AS r FROM triples a JOIN triples b ON b.s = a.o
-JOIN triples r ON r.s = b.o AND r.p = '{REGION}' WHERE a.p = '{SHIPPED}' AND b.p = '{NATION}'""",
-)
+_CHAIN_SQL = f"""SELECT a.s AS o, a.o AS sup, b.o AS n, r.o AS r FROM triples a JOIN triples b ON b.s = a.o
+JOIN triples r ON r.s = b.o AND r.p = '{REGION}' WHERE a.p = '{SHIPPED}' AND b.p = '{NATION}'"""
+_register("f6_reduced_bgp_stored", _solve_stored, _CHAIN_SQL)
+
+
+def _refresh_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain from reductions that were stored before and after half of the triples came."""
+    path, folder = scratch_path(spark, "reductions"), scratch_path(spark, "growing")
+    patterns = tw.pattern_table(spark, {"chain": WORKLOAD["chain"]})
+    raw = _raw(spark, sf_dir)
+    for rows in (raw.where(F.pmod(F.xxhash64("s"), F.lit(2)) == 0), raw):
+        tw.write_properties(rows, folder)
+        store = tw.PropertyStore(spark, folder, encoded=False)
+        tw.write_reductions(tw.workload_reductions(store, patterns), path, store)
+    return tw.reduced_bgp(store, WORKLOAD["chain"], stored=path)
+
+
+_register("a6_refresh_reductions", _refresh_reductions, _CHAIN_SQL)
 
 # ---------------------------------------------------------------- membership filters
 
@@ -812,15 +827,44 @@ _register(
 AND o_id = (SELECT id FROM dict WHERE term = '{customer(14)}')""",
 )
 
+
+def _created_store(spark: SparkSession, sf_dir: str) -> tw.PropertyStore:
+    return _shared(
+        "created", spark, sf_dir,
+        lambda: tw.create_store(_raw(spark, sf_dir), scratch_path(spark, "created")),
+    )
+
+
+def _by_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All triples between two customers, from the properties that the filters leave."""
+    store = _created_store(spark, sf_dir)
+    patterns = tw.encode_query([(customer(2), "?p", "?x"), ("?x", "?q", customer(14))], store.dictionary)
+    return tw.decode_bindings(tw.bgp(store, patterns), store.dictionary)
+
+
+_STATS_SQL = """SELECT p, count(*) AS n,
+  CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM triples) AS ratio,
+  count(DISTINCT s) AS n_s, count(DISTINCT o) AS n_o FROM {table} GROUP BY p"""
+_register(
+    "a4_create_store", lambda spark, sf_dir: _created_store(spark, sf_dir).table,
+    "SELECT s, p, o, o_id FROM enc",
+)
+_register(
+    "a4_create_store_stats", lambda spark, sf_dir: _created_store(spark, sf_dir).stats,
+    _STATS_SQL.format(table="enc"),
+)
+_register(
+    "d6_unbound_by_filters", _by_filters,
+    f"""SELECT a.p AS p, a.o AS x, b.p AS q FROM triples a JOIN triples b ON a.o = b.s
+WHERE a.s = '{customer(2)}' AND b.o = '{customer(14)}'""",
+)
+
 # ---------------------------------------------------------------- counts, sets, layout
 
 _register(
     "i1_dataset_stats", _on_raw(tw.dataset_stats),
     "SELECT count(*) AS n_triples, count(DISTINCT p) AS n_properties FROM triples",
 )
-_STATS_SQL = """SELECT p, count(*) AS n,
-  CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM triples) AS ratio,
-  count(DISTINCT s) AS n_s, count(DISTINCT o) AS n_o FROM {table} GROUP BY p"""
 _register("i2_property_stats", _on_raw(tw.property_stats), _STATS_SQL.format(table="triples"))
 _register("i2_property_stats_enc", _on_store(tw.property_stats), _STATS_SQL.format(table="enc"))
 _register(

@@ -24,6 +24,7 @@ from tripleweft.operators.joins import join_bindings, join_unbound_property, sem
 from tripleweft.operators.layout import intersect_properties, partition_by, union_properties
 from tripleweft.operators.patterns import match_pattern
 from tripleweft.operators.reductions import (
+    candidate_rows,
     find_partners,
     partner_keys,
     read_pattern,
@@ -42,6 +43,7 @@ from tripleweft.operators.stats import (
     property_stats,
 )
 from tripleweft.plans.bgp import bgp, project, reduced_bgp
+from tripleweft.plans.stores import create_store, open_store
 from tripleweft.plans.workload import pattern_shapes, pattern_table, workload_report
 from tripleweft.session import configure, materialize
 from tripleweft.sources.ntriples import (
@@ -52,7 +54,7 @@ from tripleweft.sources.ntriples import (
     refused_lines,
     write_encoded,
 )
-from tripleweft.sources.properties import PropertyStore, scan_properties, write_properties
+from tripleweft.sources.properties import PropertyStore, scan_properties, version_of, write_properties
 from tripleweft.sources.reductions import read_catalog, read_reduction, read_stored, write_reductions
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -21,7 +21,7 @@ from tripleweft.functions.terms import (
     position_equals,
     position_key,
 )
-from tripleweft.operators.filters import verify_properties
+from tripleweft.operators.filters import candidate_properties, verify_properties
 from tripleweft.operators.joins import semi_join
 from tripleweft.operators.patterns import Pattern
 from tripleweft.session import broadcast_if_small, materialize
@@ -121,15 +121,32 @@ def read_pattern(triples: DataFrame | PropertyStore, pattern: Pattern) -> DataFr
     """All rows of the property of a pattern.
 
     With a variable predicate, the rows of every property that can match:
-    those with a triple that has the pattern's constant nodes.
+    those with a triple that has the pattern's constant nodes. A store's
+    filters name the properties to verify, all are verified without them.
     """
-    s, p, o = pattern
-    if not is_variable(p):
-        return rows_of(triples, p)
-    nodes = {name: t for name, t in (("s", s), ("o", o)) if is_resource(t)}
+    if not is_variable(pattern[1]):
+        return rows_of(triples, pattern[1])
+    nodes = _constant_nodes(pattern)
     if not nodes:
         return all_rows(triples)
-    return only_properties(triples, verify_properties(triples, **nodes))
+    filters = getattr(triples, "filters", None)
+    candidates = None if filters is None else candidate_properties(filters, **nodes)
+    return only_properties(triples, verify_properties(triples, candidates, **nodes))
+
+
+def candidate_rows(triples: DataFrame | PropertyStore, pattern: Pattern) -> DataFrame:
+    """The rows of the properties that a store's filters leave for a variable predicate.
+
+    Without filters, or constant nodes to look up, those of all properties.
+    """
+    nodes, filters = _constant_nodes(pattern), getattr(triples, "filters", None)
+    if filters is None or not nodes:
+        return all_rows(triples)
+    return only_properties(triples, candidate_properties(filters, **nodes))
+
+
+def _constant_nodes(pattern: Pattern) -> dict:
+    return {name: t for name, t in (("s", pattern[0]), ("o", pattern[2])) if is_resource(t)}
 
 
 def reduce_pattern(

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from tripleweft.functions.terms import is_encoded, is_variable
 from tripleweft.operators.joins import join_bindings
 from tripleweft.operators.patterns import Pattern, match_pattern, node_variables, variables
-from tripleweft.operators.reductions import reduce_pattern, reduction_names, shared_keys
-from tripleweft.sources.properties import PropertyStore, all_rows, rows_of
+from tripleweft.operators.reductions import candidate_rows, reduce_pattern, reduction_names, shared_keys
+from tripleweft.sources.properties import PropertyStore, rows_of, version_of
 from tripleweft.sources.reductions import read_stored
 
 
@@ -34,7 +34,7 @@ def bgp(
     """
     node_vars = node_variables(patterns)
     tables = inputs or [
-        all_rows(triples) if is_variable(p) else rows_of(triples, p) for _, p, _ in patterns
+        candidate_rows(triples, q) if is_variable(q[1]) else rows_of(triples, q[1]) for q in patterns
     ]
     waiting = [
         (match_pattern(table, pattern, node_vars), sum(not is_variable(t) for t in pattern))
@@ -70,12 +70,14 @@ def reduced_bgp(
     """`bgp` with every pattern reading its reduction; the same solutions.
 
     Reductions written below the path `stored` are read instead of computed:
-    for each pattern the smaller one recorded, which is not cut any further.
+    for each pattern the smaller one recorded for the files of `triples`, which
+    is not cut any further.
     """
     known = {}
     if stored is not None:
+        version = version_of(triples)
         names = {n for pattern in patterns for n in reduction_names(pattern, patterns).values()}
-        known = read_stored(triples.sparkSession, stored, names, is_encoded(triples))
+        known = read_stored(triples.sparkSession, stored, names, is_encoded(triples), version)
     live = [q for q in patterns if not known.keys() & set(reduction_names(q, patterns).values())]
     keys = shared_keys(triples, patterns, constants=True) if live else {}
     inputs = [reduce_pattern(triples, pattern, patterns, known, keys) for pattern in patterns]

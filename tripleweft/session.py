@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A table is only hinted for broadcast when it has been counted and holds at
-# most this many rows. Beyond it the hint is left out and Spark shuffles.
+# most so many rows and bytes. Beyond it the hint is left out and Spark shuffles.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 SHUFFLE_BYTES = 1 << 30  # input per shuffle partition, before columns are pruned
 MAX_FILES = 400_000  # aim for fewer files than this in one table
@@ -73,6 +74,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of `df` if a count shows it is small, else leave it."""
-    n_rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n_rows <= max_rows else df
+    """Hint a broadcast of `df` if a count shows it is small, else leave it.
+
+    Columns of text and of lists are counted by their bytes, others as 8.
+    """
+    wide = [name for name, kind in df.dtypes if kind in ("string", "binary") or "<" in kind]
+    size = F.octet_length(F.to_json(F.struct(*wide))) if wide else F.lit(0)
+    n_rows, n_bytes = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    n_bytes += 8 * n_rows * (len(df.columns) - len(wide))
+    return F.broadcast(df) if n_rows <= max_rows and n_bytes <= BROADCAST_BYTES else df

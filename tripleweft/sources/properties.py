@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -76,13 +77,19 @@ class PropertyStore:
     """A stored property table as the source of queries and reductions.
 
     It stands where a DataFrame of triples does; each pattern and partner
-    column then reads the directory of its own property.
+    column then reads the directory of its own property. With `filters`, those
+    of all properties, a pattern with a variable predicate and a constant node
+    reads only the properties whose filters hold the node.
     """
 
-    def __init__(self, spark: SparkSession, path: str, encoded: bool = True):
+    def __init__(
+        self, spark: SparkSession, path: str, encoded: bool = True, filters: DataFrame | None = None
+    ):
         self.sparkSession = spark
         self.path = path
         self.encoded = encoded
+        self.filters = filters
+        self.stats = self.dictionary = None  # given by `open_store`
         self.table = scan_properties(spark, path, encoded=encoded)
         self.columns = self.table.columns
 
@@ -107,6 +114,19 @@ def only_properties(triples: DataFrame | PropertyStore, properties: DataFrame) -
     return triples.where(F.col("p").isin(first))
 
 
+def version_of(triples: DataFrame | PropertyStore) -> str:
+    """A hash of the names of the files behind `triples`; empty if there are none.
+
+    Spark gives every file it writes a name of its own, so added or rewritten
+    triples have another version. It is taken from the listing, without a scan.
+    """
+    table = all_rows(triples)
+    if isinstance(triples, PropertyStore):  # list anew: the store may have grown since it was opened
+        table = scan_properties(triples.sparkSession, triples.path, encoded=triples.encoded)
+    files = sorted(table.inputFiles())
+    return hashlib.sha256("\n".join(files).encode()).hexdigest() if files else ""
+
+
 def all_rows(triples: DataFrame | PropertyStore) -> DataFrame:
     """The whole table of a source."""
     return triples.table if isinstance(triples, PropertyStore) else triples

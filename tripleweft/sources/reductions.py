@@ -12,32 +12,44 @@ from pyspark.sql import functions as F
 
 from tripleweft.functions.terms import is_encoded
 from tripleweft.session import broadcast_if_small
+from tripleweft.sources.properties import PropertyStore, version_of
 
-CATALOG_SCHEMA = "name STRING, n_rows BIGINT"
+CATALOG_SCHEMA = "name STRING, n_rows BIGINT, source STRING"
 DATA_SCHEMA = {
     False: "name STRING, s STRING, p STRING, o STRING, run STRING, slot STRING",
     True: "name STRING, s BIGINT, p BIGINT, o STRING, o_id BIGINT, run STRING, slot STRING",
 }
 
 
-def _slot(name: Column) -> Column:
+def _slot(name: Column, version: str) -> Column:
     # Names grow with the number of partners and may not fit a directory name.
-    return F.concat(F.lit("r"), F.sha2(name, 256))
+    return F.concat(F.lit("r"), F.sha2(F.concat(F.lit(version), name), 256))
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """`name, n_rows` of the stored reductions; empty before the first write."""
+def read_catalog(spark: SparkSession, path: str, version: str = "") -> DataFrame:
+    """`name, n_rows` of the reductions stored for a version of the triples.
+
+    Empty before the first write.
+    """
     try:
-        return spark.read.schema(CATALOG_SCHEMA).parquet(f"{path}/catalog")
+        catalog = spark.read.schema(CATALOG_SCHEMA).parquet(f"{path}/catalog")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], CATALOG_SCHEMA)
+        catalog = spark.createDataFrame([], CATALOG_SCHEMA)
+    return catalog.where(F.col("source") == version).select("name", "n_rows")
 
 
-def write_reductions(reductions: DataFrame, path: str) -> DataFrame:
+def write_reductions(
+    reductions: DataFrame, path: str, source: DataFrame | PropertyStore | None = None
+) -> DataFrame:
     """Store the reductions that are not recorded yet; returns the catalog.
 
+    `source` are the triples they were made from. Records serve queries over
+    the same files only: once triples are added, nothing is recorded for them,
+    and the next call stores the reductions anew. Without `source` they serve
+    queries over triples that have no files.
+
     Reductions come as one table with their `name`. Their rows are written
     first and recorded afterwards. If a run dies in between, the next one
     finds nothing recorded and overwrites just those partitions, so nothing
@@ -46,8 +58,10 @@ def write_reductions(reductions: DataFrame, path: str) -> DataFrame:
     An empty reduction has no rows, hence no record.
     """
     spark, run = reductions.sparkSession, uuid.uuid4().hex
-    recorded = broadcast_if_small(read_catalog(spark, path).select("name"))
-    new = reductions.join(recorded, "name", "left_anti").withColumns({"run": F.lit(run), "slot": _slot(F.col("name"))})
+    version = "" if source is None else version_of(source)
+    recorded = broadcast_if_small(read_catalog(spark, path, version).select("name"))
+    new = reductions.join(recorded, "name", "left_anti")
+    new = new.withColumns({"run": F.lit(run), "slot": _slot(F.col("name"), version)})
     (
         new.hint("rebalance", F.col("slot"))
         .sortWithinPartitions("slot", "s")
@@ -58,24 +72,26 @@ def write_reductions(reductions: DataFrame, path: str) -> DataFrame:
     )
     stored = spark.read.schema(DATA_SCHEMA[is_encoded(reductions)]).parquet(f"{path}/data")
     sizes = stored.where(F.col("run") == run).groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"))
-    sizes.write.mode("append").parquet(f"{path}/catalog")
-    return read_catalog(spark, path)
+    sizes.withColumn("source", F.lit(version)).write.mode("append").parquet(f"{path}/catalog")
+    return read_catalog(spark, path, version)
 
 
-def read_reduction(spark: SparkSession, path: str, name: str, encoded: bool = True) -> DataFrame:
+def read_reduction(
+    spark: SparkSession, path: str, name: str, encoded: bool = True, version: str = ""
+) -> DataFrame:
     """The rows of one stored reduction; only its partition is read."""
-    slot = "r" + hashlib.sha256(name.encode()).hexdigest()
+    slot = "r" + hashlib.sha256((version + name).encode()).hexdigest()
     reader = spark.read.schema(DATA_SCHEMA[encoded]).option("basePath", f"{path}/data")
     stored = reader.parquet(f"{path}/data/slot={slot}")
     return stored.where(F.col("name") == name).drop("name", "run", "slot")
 
 
 def read_stored(
-    spark: SparkSession, path: str, names: Iterable[str], encoded: bool = True
+    spark: SparkSession, path: str, names: Iterable[str], encoded: bool = True, version: str = ""
 ) -> dict[str, DataFrame]:
     """Those of the named reductions that are recorded, as tables by name, the smaller first."""
-    recorded = read_catalog(spark, path).where(F.col("name").isin(list(names))).orderBy("n_rows", "name")
+    recorded = read_catalog(spark, path, version).where(F.col("name").isin(list(names))).orderBy("n_rows", "name")
     return {
-        row["name"]: read_reduction(spark, path, row["name"], encoded)
+        row["name"]: read_reduction(spark, path, row["name"], encoded, version)
         for row in recorded.collect()  # at most one row for each given name
     }
