@@ -1,8 +1,9 @@
 """Secret scan with multipart credential linking.
 
-Strong spans are found by pattern alone. Weak ones, an endpoint or a bare
-40-character key, say nothing by themselves: they are reported only if a
-complementary part of a credential lies in the same scope and within reach.
+Strong spans are found by pattern alone. Weak ones, an endpoint, a bare
+40-character key or the value of a name such as secret_access_key, say nothing
+by themselves: they are reported only if a complementary part of a credential
+lies in the same scope.
 The join of parts is an interval join on (document, scope); a document is one
 row, so it runs by binary search inside the row and shuffles nothing.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tripleweft.llm.arrays import slices
 from tripleweft.llm.runtime import prepare
 
-REACH = 400  # code points between parts of one credential
+REACH: int | None = None  # most code points between parts of one credential; None: the whole scope
 MASK = "[REDACTED]"
 
 # The base patterns, their kinds in order, and their least lengths.
@@ -35,7 +36,12 @@ KINDS = ("assign", "access", "hex", "endpoint", "key")
 
 # The method's weak parts.
 ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|[a-z0-9][a-z0-9.-]{0,120}\.amazonaws\.com[^\s\"'<>]*")
-KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
+KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
+NAMED = re.compile(
+    r"""(?:secret(?:[\x20_.-]?access)?|account|private|shared(?:[\x20_.-]?access)?)[\x20_.-]?key["']?"""
+    r"""[\x20\t]*(?::=|=>|[:=>])[\x20\t]*["']?([A-Za-z0-9+/_.=-]{5,}[A-Za-z0-9+/_=-])""",
+    re.IGNORECASE | re.ASCII,
+)
 BREAK = re.compile(r"\n[ \t\r]*\n")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
@@ -56,19 +62,43 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return found + [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
 
 
-def linked_spans(text: str, base: list[tuple[int, str, int]], reach: int) -> list[tuple[int, str, int]]:
-    """The weak spans that have a complementary part in their scope and within `reach`.
+def _keys(text: str, endpoints: list[tuple[int, str, int]], access: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """Bare keys and values of key names, none of them an access identifier.
+
+    A run of one letter is filler. Paths are runs of letters and slashes too:
+    inside an endpoint a key without digits needs a '=' before it.
+    """
+
+    def inside(spans: list[tuple[int, str, int]], start: int, end: int) -> bool:
+        at = bisect_right(spans, start, key=lambda s: s[0])
+        return at > 0 and end <= spans[at - 1][2]
+
+    found = set()
+    for m in KEY.finditer(text):
+        plain = not any(map(str.isdigit, m[0]))
+        if plain and len(set(m[0]) - set("+/")) < 2:
+            continue
+        if plain and text[m.start() - 1 : m.start()] != "=" and inside(endpoints, m.start(), m.end()):
+            continue
+        found.add(m.span())
+    found.update(m.span(1) for m in NAMED.finditer(text))
+    return [(start, "key", end) for start, end in sorted(found) if not inside(access, start, end)]
+
+
+def linked_spans(text: str, base: list[tuple[int, str, int]], reach: int | None) -> list[tuple[int, str, int]]:
+    """The weak spans that have a complementary part in their scope and within `reach`, if given.
 
-    An endpoint needs an access identifier or a secret; a bare key needs an
-    access identifier or an endpoint. Scopes are the blocks between blank lines.
+    An endpoint needs an access identifier or a secret; a key needs an access
+    identifier or an endpoint. Scopes are the blocks between blank lines.
     """
+    reach = len(text) if reach is None else reach
     endpoints = []
     if "http" in text or ".amazonaws.com" in text:
         endpoints = [(m.start(), "endpoint", m.end()) for m in ENDPOINT.finditer(text)]
     access = [s for s in base if s[1] == "access"]
     if not endpoints and not access:
         return []  # every link has one of the two
-    keys = [(m.start(), "key", m.end()) for m in KEY.finditer(text) if any(map(str.isdigit, m[0]))]
+    keys = _keys(text, endpoints, access)
     secrets = [s for s in base if s[1] != "access"] + keys
     breaks = [m.start() for m in BREAK.finditer(text)]
 
@@ -91,7 +121,7 @@ def linked_spans(text: str, base: list[tuple[int, str, int]], reach: int) -> lis
     return joined(endpoints, access + secrets) + joined(keys, access + endpoints)
 
 
-def _scan(text: str | None, reach: int) -> list[dict]:
+def _scan(text: str | None, reach: int | None) -> list[dict]:
     text = text or ""
     base = base_spans(text)
     linked = linked_spans(text, base, reach)
@@ -99,7 +129,7 @@ def _scan(text: str | None, reach: int) -> list[dict]:
     return [{"kind": KINDS[k], "start": s, "end": e, "linked": flag} for s, k, e, flag in ordered]
 
 
-def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def find_secrets(docs: DataFrame, reach: int | None = REACH) -> DataFrame:
     """`doc_id, spans` for every row of `doc_id, text`; one row out per row in.
 
     `spans` is ordered by start, then kind; offsets are code points, end
@@ -121,7 +151,7 @@ def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans {SPAN_SCHEMA}")
 
 
-def redact_secrets(docs: DataFrame, reach: int = REACH, mask: str = MASK) -> DataFrame:
+def redact_secrets(docs: DataFrame, reach: int | None = REACH, mask: str = MASK) -> DataFrame:
     """`docs` with every span of `find_secrets` replaced by `mask`.
 
     All rows and columns stay; overlapping spans become one mask. `n_chars`,
@@ -163,7 +193,7 @@ def span_text(spans: Column) -> Column:
     )
 
 
-def secret_report(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def secret_report(docs: DataFrame, reach: int | None = REACH) -> DataFrame:
     """Counts of strong spans, a digest of them, and all spans as text, per row."""
     found = find_secrets(docs, reach)
     base = F.filter("spans", lambda s: ~s["linked"])
