@@ -170,6 +170,22 @@ def test_quality_counts(docs, rows):
     assert report.where("base_failed AND kept").count() == 0
 
 
+def rate_rows(spark, groups):
+    """Texts that pass the base rule; each of `(lang, source, dup_line_rates, symbol_rates)` is a group."""
+    rows = [(lang, s, False, y, x, 0.01 * (k % 5), 5.0 + 0.01 * (k % 9)) for lang, s, xs, ys in groups for k, (x, y) in enumerate(zip(xs, ys, strict=True))]
+    names = "lang string, source string, base_failed boolean, symbol_rate double, dup_line_rate double, repeat_rate double, mean_chars double"
+    return spark.createDataFrame(rows, names)
+
+
+def test_fences_follow_the_spread_of_a_source(spark):
+    narrow, wide = [0.0001 * (k % 10) for k in range(1000)], [0.01 * (k % 10) for k in range(1000)]
+    rates = rate_rows(spark, [("en", "narrow", narrow, narrow), ("en", "wide", wide, wide)])
+    fences = {r["source"]: r for r in quality_rules.adaptive_fences(rates).collect()}
+    for name in ("dup_line_rate", "symbol_rate"):
+        low, high = (fences[s][name]["high"] for s in ("narrow", "wide"))
+        assert 0.001 < low < 0.06 and max(wide) < high and high > 2 * low
+
+
 def test_quality_rules_keep_clean_texts(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     report = quality_rules.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("NOT base_failed")

@@ -17,10 +17,18 @@ from tripleweft.llm.runtime import materialize, prepare
 # Fixed values of the base rule.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_GROUP = 200  # texts a (language, source) needs for fences of its own
-FENCE = 3.0  # spreads beyond the quartiles
-SKETCH_K = 400
-# statistic: the least spread assumed, as sources of uniform texts have almost none
-SPREADS = {"symbol_rate": 0.05, "dup_line_rate": 0.1, "repeat_rate": 0.1, "mean_chars": 1.0}
+SKETCH_K = 800
+# statistic: rank of the tail quantile that fences start from; how many times the
+# distance from the median to it they lie beyond it (normal values: 4.6 standard
+# deviations or more from the median); and the least room, about what one text's
+# counts can tell. Junk shows in symbols and word lengths and may fill a fifth of a
+# source; most texts repeat nothing, so only far ranks tell how much is usual.
+STATISTICS = {
+    "symbol_rate": (0.8, 4.5, 0.01),
+    "dup_line_rate": (0.99, 1.0, 0.01),
+    "repeat_rate": (0.99, 2.0, 0.01),
+    "mean_chars": (0.8, 4.5, 0.1),
+}
 _BLANK, _NOT_BLANK = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 
 # One number per 3-word window, its hash above its position; sorted, equal
@@ -81,15 +89,18 @@ def _rates(stats: DataFrame) -> DataFrame:
 def _sketched(rows: DataFrame, keys: list[str], merge: bool) -> DataFrame:
     """A sketch of each statistic and the number of texts per group of `keys`."""
     make = F.kll_merge_agg_double if merge else F.kll_sketch_agg_double
-    sketches = [make(name, F.lit(SKETCH_K)).alias(name) for name in SPREADS]
+    sketches = [make(name, F.lit(SKETCH_K)).alias(name) for name in STATISTICS]
     return rows.groupBy(*keys).agg(*sketches, (F.sum("n") if merge else F.count(F.lit(1))).alias("n"))
 
 
-def _quartiles(table: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+def _quantiles(table: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     def quantile(name: str, q: float) -> Column:
         return F.kll_sketch_get_quantile_double(name, F.lit(q))
 
-    found = [F.struct(quantile(n, 0.25).alias("low"), quantile(n, 0.75).alias("high")).alias(prefix + n) for n in SPREADS]
+    found = [
+        F.struct(quantile(n, 1 - tail).alias("low"), quantile(n, 0.5).alias("mid"), quantile(n, tail).alias("high")).alias(prefix + n)
+        for n, (tail, _, _) in STATISTICS.items()
+    ]
     return table.select(*[F.col(k).alias(prefix + k) for k in keys], *found, F.col("n").alias(prefix + "n"))
 
 
@@ -103,8 +114,8 @@ def adaptive_fences(rates: DataFrame) -> DataFrame:
     groups = rates.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_all"))
     own = materialize(_sketched(rates.where("NOT base_failed"), ["lang", "source"], merge=False), "sketches")
     by_lang, by_all = _sketched(own, ["lang"], merge=True), _sketched(own, [], merge=True)
-    s, g = _quartiles(own, ["lang", "source"], "s_"), _quartiles(by_lang, ["lang"], "g_")
-    of_all = _quartiles(by_all, [], "a_").select(F.struct(*["a_" + name for name in SPREADS])).scalar()
+    s, g = _quantiles(own, ["lang", "source"], "s_"), _quantiles(by_lang, ["lang"], "g_")
+    of_all = _quantiles(by_all, [], "a_").select(F.struct(*["a_" + name for name in STATISTICS])).scalar()
     joined = (
         groups.join(s, F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source")), "left")
         .join(g, F.col("lang").eqNullSafe(F.col("g_lang")), "left")
@@ -113,10 +124,16 @@ def adaptive_fences(rates: DataFrame) -> DataFrame:
 
     def fence(name: str) -> Column:
         q = F.when(F.col("s_n") >= MIN_GROUP, F.col("s_" + name)).when(F.col("g_n") >= MIN_GROUP, F.col("g_" + name)).otherwise(F.col("a")["a_" + name])
-        room = FENCE * F.greatest(q["high"] - q["low"], F.lit(SPREADS[name]))
-        return F.struct((q["low"] - room).alias("low"), (q["high"] + room).alias("high")).alias(name)
+        _, times, least = STATISTICS[name]
 
-    return joined.select("lang", "source", *[fence(name) for name in SPREADS])
+        def room(spread: Column) -> Column:
+            return F.greatest(times * spread, F.lit(least))
+
+        return F.struct(
+            (q["low"] - room(q["mid"] - q["low"])).alias("low"), (q["high"] + room(q["high"] - q["mid"])).alias("high")
+        ).alias(name)
+
+    return joined.select("lang", "source", *[fence(name) for name in STATISTICS])
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -132,10 +149,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     rates = _rates(materialize(text_statistics(docs), "statistics"))
     fences = materialize(adaptive_fences(rates), "fences").select(
-        F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *[F.col(n).alias("f_" + n) for n in SPREADS]
+        F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *[F.col(n).alias("f_" + n) for n in STATISTICS]
     )
     inside = F.col("mean_chars") >= F.col("f_mean_chars.low")
-    for name in SPREADS:
+    for name in STATISTICS:
         inside = inside & (F.col(name) <= F.col(f"f_{name}.high"))
     joined = rates.join(fences, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     return joined.select(
