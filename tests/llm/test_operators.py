@@ -186,6 +186,16 @@ def test_fences_follow_the_spread_of_a_source(spark):
         assert 0.001 < low < 0.06 and max(wide) < high and high > 2 * low
 
 
+def test_fences_change_smoothly_with_the_size_of_a_source(spark):
+    plain, tables = [0.0] * 2000, [0.3 + 0.01 * (k % 10) for k in range(1000)]
+    groups = [("en", "prose", plain, plain)] + [("en", f"t{n}", [0.0] * n, tables[:n]) for n in (1, 40, 199, 200, 1000)]
+    none = rate_rows(spark, [("fr", None, [0.0], [0.0])]).withColumn("base_failed", F.lit(True))
+    fences = {r["source"]: r["symbol_rate"]["high"] for r in quality_rules.adaptive_fences(rate_rows(spark, groups).unionByName(none)).collect()}
+    assert abs(fences["t199"] - fences["t200"]) < 0.01
+    assert all(fences[f"t{n}"] > max(tables) for n in (40, 199, 200, 1000))
+    assert fences["prose"] < 0.05 and fences[None] is not None and fences["t1000"] < fences["t40"]
+
+
 def test_quality_rules_keep_clean_texts(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     report = quality_rules.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("NOT base_failed")

@@ -16,7 +16,7 @@ from tripleweft.llm.runtime import materialize, prepare
 
 # Fixed values of the base rule.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MIN_GROUP = 200  # texts a (language, source) needs for fences of its own
+PRIOR_TEXTS = 30  # a group of n texts has the weight n / (n + PRIOR_TEXTS) against the larger group it belongs to
 SKETCH_K = 800
 # statistic: rank of the tail quantile that fences start from; how many times the
 # distance from the median to it they lie beyond it (normal values: 4.6 standard
@@ -107,9 +107,12 @@ def _quantiles(table: DataFrame, keys: list[str], prefix: str) -> DataFrame:
 def adaptive_fences(rates: DataFrame) -> DataFrame:
     """`lang, source` and a `low, high` fence per statistic, for every group.
 
-    Drawn from texts the base rule passes. A group with few texts takes its
-    language's fences, and a language with few those of all. Groups are small
-    tables; the sketches merge, so no group is gathered anywhere.
+    Drawn from texts the base rule passes. A group's quantiles are blended with
+    its language's, and those with all texts', by weights that grow smoothly
+    with the number of texts, so no size switches anything. While a group is
+    too small to tell, a median that differs from the larger group's widens the
+    fences: neither norm is known to hold. Groups are small tables; the
+    sketches merge, so no group is gathered anywhere.
     """
     groups = rates.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_all"))
     own = materialize(_sketched(rates.where("NOT base_failed"), ["lang", "source"], merge=False), "sketches")
@@ -122,12 +125,20 @@ def adaptive_fences(rates: DataFrame) -> DataFrame:
         .withColumn("a", of_all)
     )
 
+    def blended(own: Column, n: Column, outer: Column) -> Column:
+        weight = F.coalesce(n / (n + PRIOR_TEXTS), F.lit(0.0))
+        apart = weight * (1 - weight) * F.abs(own["mid"] - outer["mid"]) + (1 - weight) * outer["apart"]
+        mixed = [F.coalesce(weight * own[q] + (1 - weight) * outer[q], outer[q]).alias(q) for q in ("low", "mid", "high")]
+        return F.struct(*mixed, F.coalesce(apart, outer["apart"]).alias("apart"))
+
     def fence(name: str) -> Column:
-        q = F.when(F.col("s_n") >= MIN_GROUP, F.col("s_" + name)).when(F.col("g_n") >= MIN_GROUP, F.col("g_" + name)).otherwise(F.col("a")["a_" + name])
+        every = F.col("a")["a_" + name]
+        outer = F.struct(*[every[q].alias(q) for q in ("low", "mid", "high")], F.lit(0.0).alias("apart"))
+        q = blended(F.col("s_" + name), F.col("s_n"), blended(F.col("g_" + name), F.col("g_n"), outer))
         _, times, least = STATISTICS[name]
 
         def room(spread: Column) -> Column:
-            return F.greatest(times * spread, F.lit(least))
+            return F.greatest(times * (spread + q["apart"]), F.lit(least))
 
         return F.struct(
             (q["low"] - room(q["mid"] - q["low"])).alias("low"), (q["high"] + room(q["high"] - q["mid"])).alias("high")
