@@ -154,6 +154,22 @@ def test_licenses(docs, rows):
     assert got == {k: brute.licenses(t) for k, t in rows}
 
 
+def test_license_statements_may_wrap(spark):
+    texts = [
+        ("Apache License,\n Version 2.0", "apache-2.0"), ("see  GNU General Public\nLicense version 2 x", "gpl-2.0"),
+        ("* Redistribution and use in source\n * and binary forms", "redistribution"), ("Simplified BSD License", "bsd-2-clause"),
+        ("é # licensed  under\r\n#\n# the\tMIT\xa0License", "mit"), ("/* mozilla */\n// Mozilla Public */\n// License 2.0", "mpl-2.0"),
+        ("in the  public\n -- domain", "public-domain"), ("<!-- Creative Commons\n     Zero -->", "cc0-1.0"),
+    ]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id int, text string")
+    for (text, label), r in zip(texts, licenses.scan_licenses(docs).orderBy("doc_id").collect(), strict=True):
+        (d,) = [d for d in r["detections"] if d["label"] == label]
+        shown = text[d["start"] : d["end"]]
+        assert shown == shown.strip() and shown[0].isalpha() and shown[-1].isalnum()
+        assert (d["start"], d["end"]) == (max(text.find(x) for x in ("Apache", "GNU", "Redist", "Simpl", "licensed", "Mozilla", "in the", "Creative")), len(text.removesuffix(" x").removesuffix(" -->")))
+    assert licenses.detect("huggingface.co/spaces/x\nlicense") == [] == licenses.detect("apache\n\nmozilla")
+
+
 def test_overlapping_detections_are_suppressed():
     rules = license_rules.build_rules()
     assert len(rules) > 200 and [r.priority for r in rules] == sorted(r.priority for r in rules)

@@ -17,7 +17,7 @@ apache-1.1 | apache(?: software)? licen[cs]e,? ?(?:version |v\.? ?)?1\.1 | apach
 apache-1.0 | apache(?: software)? licen[cs]e,? ?(?:version |v\.? ?)?1\.0 | apache\.org/licenses/license-1\.0 | apache
 mit | (?:the )?mit(?:/expat)? licen[cs]e;expat licen[cs]e | opensource\.org/licenses?/mit;mit-license\.org | mit licen,expat licen,mit/expat,licenses/mit,license/mit,mit-license
 mit-0 | mit no attribution(?: licen[cs]e)?;mit-0 licen[cs]e | opensource\.org/licenses?/mit-0 | mit no attribution,mit-0
-bsd-2-clause | (?:simplified|free)bsd licen[cs]e;(?:2|two)[- ]clause bsd(?: licen[cs]e)?;bsd[- ]2[- ]clause | opensource\.org/licenses?/bsd-2-clause | bsd
+bsd-2-clause | (?:simplified |free)bsd licen[cs]e;(?:2|two)[- ]clause bsd(?: licen[cs]e)?;bsd[- ]2[- ]clause | opensource\.org/licenses?/bsd-2-clause | bsd
 bsd-3-clause | (?:new|modified|revised) bsd licen[cs]e;(?:3|three)[- ]clause bsd(?: licen[cs]e)?;bsd[- ]3[- ]clause | opensource\.org/licenses?/bsd-3-clause | bsd
 bsd-4-clause | original bsd licen[cs]e;(?:4|four)[- ]clause bsd(?: licen[cs]e)?;bsd[- ]4[- ]clause | directory\.fsf\.org/wiki/license:bsd-4-clause | bsd
 0bsd | zero[- ]clause bsd(?: licen[cs]e)?;bsd zero clause licen[cs]e | opensource\.org/licenses?/0bsd | bsd
@@ -39,10 +39,10 @@ epl-1.0 | eclipse public licen[cs]e,? ?(?:-|version |v\.? ?)* ?1(?:\.0)?;epl ?v?
 epl-2.0 | eclipse public licen[cs]e,? ?(?:-|version |v\.? ?)* ?2(?:\.0)?;epl ?v?2\.0 | eclipse\.org/legal/epl-(?:v20|2\.0) | eclipse,epl
 edl-1.0 | eclipse distribution licen[cs]e | eclipse\.org/org/documents/edl-v10 | eclipse
 cddl-1.0 | common development and distribution licen[cs]e(?:,? ?(?:version |v\.? ?)?1\.0)?;cddl ?v?1\.0 | opensource\.org/licenses?/cddl-1\.0 | common development,cddl
-cddl-1.1 | common development and distribution licen[cs]e,? ?(?:version |v\.? ?)?1\.1;cddl ?v?1\.1 | oracle\.com/.{0,40}cddl | common development,cddl
+cddl-1.1 | common development and distribution licen[cs]e,? ?(?:version |v\.? ?)?1\.1;cddl ?v?1\.1 | oracle\.com/\S{0,40}cddl | common development,cddl
 cpl-1.0 | common public licen[cs]e | opensource\.org/licenses?/cpl1\.0 | common public,cpl
 eupl-1.1 | european union public licen[cs]e,? ?(?:version |v\.? ?)?1\.1;eupl ?v?1\.1 | opensource\.org/licenses?/eupl-1\.1 | european union public,eupl
-eupl-1.2 | european union public licen[cs]e,? ?(?:version |v\.? ?)?1\.2;eupl ?v?1\.2 | joinup\.ec\.europa\.eu/.{0,60}eupl | european union public,eupl
+eupl-1.2 | european union public licen[cs]e,? ?(?:version |v\.? ?)?1\.2;eupl ?v?1\.2 | joinup\.ec\.europa\.eu/\S{0,60}eupl | european union public,eupl
 cc0-1.0 | creative commons zero(?: v?1\.0)?;cc0(?: 1\.0)?(?: universal)? | creativecommons\.org/publicdomain/zero | creative commons zero,cc0,publicdomain/zero
 cc-by-1.0 | creative commons attribution(?: \w+)? 1\.0;cc[- ]by 1\.0 | creativecommons\.org/licenses/by/1\.0 | creative,cc by,cc-by
 cc-by-2.0 | creative commons attribution(?: \w+)? 2\.0;cc[- ]by 2\.0 | creativecommons\.org/licenses/by/2\.0 | creative,cc by,cc-by
@@ -81,7 +81,7 @@ elastic-2.0 | elastic licen[cs]e(?:,? ?(?:version |v\.? ?)?2(?:\.0)?)? | elastic
 upl-1.0 | universal permissive licen[cs]e | opensource\.org/licenses?/upl | universal permissive,/upl
 ms-pl | microsoft public licen[cs]e;ms-pl | opensource\.org/licenses?/ms-pl | microsoft public,ms-pl
 ms-rl | microsoft reciprocal licen[cs]e;ms-rl | opensource\.org/licenses?/ms-rl | microsoft reciprocal,ms-rl
-openrail-m | (?:creativeml |bigscience )?open ?rail(?:\+\+)?-m | huggingface\.co/spaces/.{0,40}license | openrail,open rail,huggingface
+openrail-m | (?:creativeml |bigscience )?open ?rail(?:\+\+)?-m | huggingface\.co/spaces/\S{0,40}license | openrail,open rail,huggingface
 """
 
 # way | priority | confidence | pattern around NAME, ID or LINK

@@ -8,7 +8,8 @@ of the same or a better priority are suppressed.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import ahocorasick
@@ -33,6 +34,11 @@ _BASE_PATTERNS = [
     for phrase, label in BASE.items()
 ]
 
+# Gaps between words that rules see as one space: runs of blanks, with the
+# comment marks that end a line or begin the next ones. A lone space stays.
+_MARK = r"(?:/\*+|\*+/|<!--|-->|//+|\#+|\*+|;+|%+|--+|>+|\|+|\.\\\"|(?:dnl|rem)(?=\s))"
+GAP = re.compile(rf"(?:[^\S\n]+{_MARK})?[^\S\n]*\n(?:\s*{_MARK})*\s*|[^\S\x20]\s*|\x20\s+")
+
 DETECTION = pa.struct(
     [("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("priority", pa.int32()), ("confidence", pa.float64())]
 )
@@ -52,11 +58,33 @@ def _scanner() -> tuple[list[Rule], ahocorasick.Automaton]:
     return rules, automaton
 
 
+def _one_line(text: str) -> tuple[str, Callable[[int], int]]:
+    """`text` with every gap between words as one space, and the map of its offsets to those in `text`."""
+    cuts, shifts, out, done, short = [], [], [], 0, 0
+    for m in GAP.finditer(text):
+        out += [text[done : m.start()], " "]
+        done = m.end()
+        short += done - m.start() - 1
+        cuts.append(done - short)  # the first place after the space
+        shifts.append(short)
+
+    def back(at: int) -> int:
+        k = bisect_right(cuts, at)
+        return at + (shifts[k - 1] if k else 0)
+
+    return "".join(out) + text[done:], back
+
+
 def detect(text: str) -> list[tuple[int, int, Rule]]:
-    """Detections in a lower-cased text that no other one suppresses, by start."""
+    """Detections in a lower-cased text that no other one suppresses, by start.
+
+    Statements may wrap over lines, with comment marks, or have wide blanks:
+    rules see each such gap as one space. Offsets are those of `text`.
+    """
     rules, automaton = _scanner()
-    wanted = sorted({k for _, which in automaton.iter(text) for k in which})
-    found = [(m.start(), m.end(), rules[k]) for k in wanted for m in rules[k].pattern.finditer(text)]
+    line, back = _one_line(text)
+    wanted = sorted({k for _, which in automaton.iter(line) for k in which})
+    found = [(back(m.start()), back(m.end() - 1) + 1, rules[k]) for k in wanted for m in rules[k].pattern.finditer(line)]
     return suppress(found)
 
 
