@@ -7,6 +7,7 @@ dictionary-encoded property store and decode their results.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable
 from functools import reduce
@@ -43,23 +44,32 @@ def _register(name: str, run: Query, sql: str | None = None) -> None:
 
     _QUERIES[name] = configured
     if sql is not None:
-        _ORACLES[name] = _CTES + sql
+        _ORACLES[name] = _with_tables(sql)
 
 
 # ---------------------------------------------------------------- shared inputs
 
-_CTES = f"""WITH triples AS (
+_TRIPLES_CTE = f"""WITH triples AS MATERIALIZED (
 {TRIPLES_SQL}
-), dict AS (
+)"""
+_DICT_CTE = """, dict AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY term) AS id, term FROM (
     SELECT s AS term FROM triples UNION SELECT p FROM triples
     UNION SELECT o FROM triples WHERE o NOT LIKE '"%') AS terms
-), enc AS (
+)"""
+_ENC_CTE = """, enc AS MATERIALIZED (
   SELECT ds.id AS s, dp.id AS p, coalesce(CAST(dob.id AS VARCHAR), t.o) AS o, dob.id AS o_id
   FROM triples t JOIN dict ds ON ds.term = t.s JOIN dict dp ON dp.term = t.p
   LEFT JOIN dict dob ON dob.term = t.o
-)
-"""
+)"""
+
+
+def _with_tables(sql: str) -> str:
+    """The SQL after the tables it names, each computed once."""
+    names = set(re.findall(r"\b(?:dict|enc)\b", sql))
+    tables = _TRIPLES_CTE + _DICT_CTE * bool(names) + _ENC_CTE * ("enc" in names)
+    return f"{tables}\n{sql}"
+
 
 _SHARED: dict[tuple, object] = {}
 

@@ -1,5 +1,7 @@
 """Every registered query gives the rows of its SQL, duplicates included."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as contract
@@ -12,8 +14,13 @@ def con():
     return connect(SF_DIR)
 
 
+# queries of the corpus subpackage, which may be left out and have tests of their own
+OPTIONAL = {name for name in contract.queries() if name == "pipeline" or re.match(r"op\d+_", name)}
+OWN = [name for name in contract.queries() if name not in OPTIONAL]
+
+
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(OWN) == set(contract.oracle_sql()) - OPTIONAL
 
 
 def test_every_operator_has_a_query():
@@ -21,11 +28,10 @@ def test_every_operator_has_a_query():
     ids += [f"c{i}" for i in range(1, 16)] + [f"d{i}" for i in range(1, 10)]
     ids += [f"f{i}" for i in range(1, 7)] + [f"g{i}" for i in range(1, 7)]
     ids += ["h1", "h2", "i1", "i2", "i3", "i4", "i5", "j1", "j2", "k1"]
-    names = {name.split("_")[0] for name in contract.queries()}
-    assert set(ids) == names
+    assert set(ids) == {name.split("_")[0] for name in OWN}
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", OWN)
 def test_query(name, spark, con):
     df = contract.queries()[name](spark, SF_DIR)
     assert compare(df, con, contract.oracle_sql()[name]) is None
