@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tripleweft.llm.bpe import bpe_report
 from tripleweft.llm.contamination import find_contamination
 from tripleweft.llm.licenses import license_report
 from tripleweft.llm.mixing import mix_sources
@@ -34,5 +35,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": _over(quality_rules, "documents"),
     "op9_source_mixing": _over(mix_sources, "documents"),
     "op10_decontamination": _over(find_contamination, "documents", "benchmark"),
+    "op11_bpe_codec": _over(bpe_report, "documents"),
 }
 ORACLES: dict[str, str] = {}
