@@ -79,6 +79,10 @@ def test_merges_of_long_words_end(library):
     draw = random.Random(2)
     word = "".join(draw.choice("abcdeinthr") for _ in range(100_000))
     assert vocabulary.encode_word(word) == library.encode(word, add_special_tokens=False).ids
+    words = ["".join(draw.choice("abcdeinthrs'1") for _ in range(draw.randint(1, 90))) for _ in range(3000)]
+    offsets, ids = vocabulary.encode_words(words)
+    for word, a, b in zip(words, offsets[:-1], offsets[1:], strict=True):
+        assert ids[a:b].tolist() == library.encode(word, add_special_tokens=False).ids
 
 
 def test_lexicon_finds_its_words_only():
