@@ -27,6 +27,13 @@ def _table(chars: bytes, value: bool) -> np.ndarray:
 
 BLANK_SEPARATED = _table(b" \t\n\x0b\x0c\r", False)
 ALPHANUMERIC = _table(bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80)), False)
+
+
+def letter_table() -> np.ndarray:
+    """Bytes of letters and of characters beyond ASCII."""
+    return _table(bytes(range(0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x80)), False)
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -81,6 +88,13 @@ class Words:
         """The document of each word."""
         return np.repeat(np.arange(self.n_docs), self.counts())
 
+    def numbered(self) -> pa.DictionaryArray:
+        """All words, numbered by their distinct bytes."""
+        offsets = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
+        data = np.ascontiguousarray(self.data[self.inside])
+        buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, buffers).dictionary_encode()
+
     def hashes(self, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word: a polynomial in its bytes, mixed."""
         if not len(self.starts):

@@ -246,14 +246,6 @@ def _lexicon(name: str) -> Lexicon:
     return Lexicon(np.load(SparkFiles.get(name), mmap_mode="r"))
 
 
-def _word_list(words: Words) -> pa.DictionaryArray:
-    """All words of a slice, numbered by their distinct bytes."""
-    offsets = np.concatenate([[0], np.cumsum(words.ends - words.starts)])
-    data = np.ascontiguousarray(words.data[words.inside])
-    buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, buffers).dictionary_encode()
-
-
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions of all ragged runs, one after the other."""
     ends = np.cumsum(lengths)
@@ -263,7 +255,7 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def _encode(texts: pa.Array, vocabulary: Vocabulary, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     """`offsets, ids` of the texts of a slice."""
     words = Words(texts)
-    numbered = _word_list(words)
+    numbered = words.numbered()
     distinct, code = numbered.dictionary, numbered.indices.to_numpy()
     offsets = np.frombuffer(distinct.buffers()[1], np.int64)[: len(distinct) + 1] if len(distinct) else np.zeros(1, np.int64)
     data = np.frombuffer(distinct.buffers()[2] or b"", np.uint8)
@@ -288,7 +280,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
 
     def count(part: pa.RecordBatch) -> pa.RecordBatch:
-        numbered = _word_list(Words(part.column("text")))
+        numbered = Words(part.column("text")).numbered()
         n = np.bincount(numbered.indices.to_numpy(), minlength=len(numbered.dictionary))
         return pa.record_batch([numbered.dictionary.cast(pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
 

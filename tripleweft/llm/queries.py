@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tripleweft.llm import divergence
 from tripleweft.llm.bpe import bpe_report
 from tripleweft.llm.contamination import find_contamination
 from tripleweft.llm.licenses import license_report
@@ -36,5 +37,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mixing": _over(mix_sources, "documents"),
     "op10_decontamination": _over(find_contamination, "documents", "benchmark"),
     "op11_bpe_codec": _over(bpe_report, "documents"),
+    "op12_source_divergence": _over(divergence.divergence_report, "documents"),
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_source_divergence": divergence.SQL}
