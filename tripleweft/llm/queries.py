@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripleweft.llm import divergence
+from tripleweft.llm import divergence, hard_negatives
 from tripleweft.llm.bpe import bpe_report
 from tripleweft.llm.contamination import find_contamination
 from tripleweft.llm.licenses import license_report
@@ -38,5 +38,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": _over(find_contamination, "documents", "benchmark"),
     "op11_bpe_codec": _over(bpe_report, "documents"),
     "op12_source_divergence": _over(divergence.divergence_report, "documents"),
+    "op13_hard_negatives": _over(hard_negatives.hard_negatives, "embeddings"),
 }
-ORACLES: dict[str, str] = {"op12_source_divergence": divergence.SQL}
+ORACLES: dict[str, str] = {"op12_source_divergence": divergence.SQL, "op13_hard_negatives": hard_negatives.SQL}
