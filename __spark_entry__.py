@@ -179,6 +179,25 @@ def _mixed_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("a1_read_ntriples_mixed", _mixed_ntriples, "SELECT s, p, o FROM triples")
 
 
+def _refused_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each statement once as it is and once broken, in a way that its hash chooses."""
+    path = scratch_path(spark, "nt")
+    lines = _statements(_raw(spark, sf_dir), " ")
+    way = F.pmod(F.xxhash64("value"), F.lit(3))
+    broken = (
+        F.when(way == 0, F.regexp_replace("value", "^<[^>]*>", "<>"))
+        .when(way == 1, F.regexp_replace("value", r" \.$", ""))
+        .otherwise(F.regexp_replace("value", r" \S+ \.$", ' "a" "b" .'))
+    )
+    lines.union(lines.select(broken)).write.text(path)
+    read = tw.read_ntriples(spark, path).agg(F.count(F.lit(1)).alias("n_read"))
+    refused = tw.refused_lines(spark, path).agg(F.count(F.lit(1)).alias("n_refused"))
+    return read.withColumn("n_refused", refused.scalar())
+
+
+_register("a1_refused_lines", _refused_lines, "SELECT count(*) AS n_read, count(*) AS n_refused FROM triples")
+
+
 def _read_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "encoded")
     tw.write_encoded(_store(spark, sf_dir), path)
@@ -253,6 +272,25 @@ _register(
     "SELECT s, p, o, o_id FROM enc",
 )
 
+
+def _encode_partly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples of terms that a dictionary of some properties lacks are left out."""
+    triples, dictionary = _raw(spark, sf_dir), _dictionary(spark, sf_dir)
+    known = triples.where(F.col("p").isin(PLACED, STATUS)).select(F.explode(F.array("s", "p", "o")).alias("term"))
+    return tw.encode_triples(triples, dictionary.join(known, "term", "left_semi"), unknown="drop")
+
+
+_register(
+    "b3_encode_partial_dictionary", _encode_partly,
+    f""", known AS (
+  SELECT id, term FROM dict WHERE term IN (SELECT s FROM triples WHERE p IN ('{PLACED}', '{STATUS}')
+    UNION SELECT o FROM triples WHERE p = '{PLACED}') OR term IN ('{PLACED}', '{STATUS}')
+)
+SELECT ks.id AS s, kp.id AS p, coalesce(CAST(ko.id AS VARCHAR), t.o) AS o, ko.id AS o_id
+FROM triples t JOIN known ks ON ks.term = t.s JOIN known kp ON kp.term = t.p LEFT JOIN known ko ON ko.term = t.o
+WHERE ko.id IS NOT NULL OR t.o LIKE '"%'""",
+)
+
 # A workload that grows with the data: four patterns per customer, written for
 # the customer's place in the `follows` chain.
 _WORKLOAD_SQL = f"""
@@ -382,6 +420,13 @@ _register(
     f"""SELECT count(*) AS n_results FROM triples
 WHERE s = '{FULLY_BOUND[0]}' AND p = '{SHIPPED}' AND o = '{FULLY_BOUND[2]}'""",
 )
+_register(
+    "c8_fully_bound_enc",
+    lambda spark, sf_dir: tw.count_results(tw.match_pattern(
+        _store(spark, sf_dir), tw.encode_query([FULLY_BOUND], _dictionary(spark, sf_dir))[0])),
+    f"""SELECT count(*) AS n_results FROM triples
+WHERE s = '{FULLY_BOUND[0]}' AND p = '{SHIPPED}' AND o = '{FULLY_BOUND[2]}'""",
+)
 
 # ---------------------------------------------------------------- joins, projection
 
@@ -621,11 +666,13 @@ _register("f5_workload_reductions", _workload_reductions, _REDUCTIONS_SQL)
 
 
 def _stored_reductions(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    path = scratch_path(spark, "reductions")
-    half = _workload_reductions(spark, sf_dir)
-    store = _raw_property_store(spark, sf_dir)
-    tw.write_reductions(half.where(F.startswith("name", F.lit(PLACED))), path, store)
-    return path, tw.write_reductions(half, path, store)
+    def make() -> tuple[str, DataFrame]:
+        path, store = scratch_path(spark, "reductions"), _raw_property_store(spark, sf_dir)
+        half = _workload_reductions(spark, sf_dir)
+        tw.write_reductions(half.where(F.startswith("name", F.lit(PLACED))), path, store)
+        return path, tw.write_reductions(half, path, store)
+
+    return _shared("reductions", spark, sf_dir, make)
 
 
 _register(
@@ -852,6 +899,145 @@ def _by_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tw.decode_bindings(tw.bgp(store, patterns), store.dictionary)
 
 
+def _on_created(patterns, solve, **options) -> Query:
+    """A query on the store written in one call, whose filters stand for partner columns."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = _created_store(spark, sf_dir)
+        found = solve(store, tw.encode_query(patterns, store.dictionary), **options)
+        return tw.decode_bindings(found, store.dictionary)
+
+    return run
+
+
+_register("f6_reduced_bgp_by_filters", _on_created(CYCLE, tw.reduced_bgp), _CYCLE_SQL)
+_register("f6_reduced_star_by_filters", _on_created(STAR, tw.reduced_bgp), _STAR_SQL)
+_register(
+    "f6_reduced_unbound_by_filters", _on_created([("?o", PLACED, "?c"), ("?c", "?p", "?v")], tw.reduced_bgp),
+    f"""SELECT a.s AS o, a.o AS c, b.p AS p, b.o AS v FROM triples a JOIN triples b ON a.o = b.s
+WHERE a.p = '{PLACED}'""",
+)
+
+
+def _of_property(prop: str) -> str:
+    return f"FROM enc WHERE p = (SELECT id FROM dict WHERE term = '{prop}')"
+
+
+def _reduce_by_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _created_store(spark, sf_dir)
+    encoded = tw.encode_query(CYCLE, store.dictionary)
+    return tw.reduce_pattern(store, encoded[0], encoded)
+
+
+_register(
+    "f3_reduce_pattern_by_filters", _reduce_by_filters,
+    f"""SELECT s, p, o, o_id {_of_property(KNOWS)} AND s IN (SELECT s {_of_property(NATION)})
+AND s IN (SELECT o_id {_of_property(PLACED)}) AND o_id IN (SELECT s {_of_property(FOLLOWS)})""",
+)
+_register(
+    "f2_reduce_object_enc",
+    _on_store(lambda t: tw.reduce_object(t, [t.where("s = o_id").select("s"), t.select("o_id").where("o_id IS NOT NULL")])),
+    "SELECT s, p, o, o_id FROM enc WHERE o_id IS NULL OR o_id IN (SELECT s FROM enc WHERE s = o_id)",
+)
+
+
+def _reduction_enc_sql(p: str, col: str, partners) -> str:
+    def tag(prop: str, side: str) -> str:
+        name = "'ANY'" if prop == "ANY" else f"CAST((SELECT id FROM dict WHERE term = '{prop}') AS VARCHAR)"
+        return f"{name} || '_TRP{side.upper()}'"
+
+    key = {"s": "s", "o": "o_id"}
+    tests = " AND ".join(
+        f"{key[col]} IN (SELECT {key[c]} " + ("FROM enc)" if q == "ANY" else f"{_of_property(q)} AND {key[c]} IS NOT NULL)")
+        for q, c in partners)
+    if col == "o":
+        tests = f"(o_id IS NULL OR ({tests}))"
+    tags = ", ".join(tag(*partner) for partner in partners)
+    name = f"{tag(p, col)} || '_JOIN_' || array_to_string(list_sort([{tags}]), '_JOIN_')"
+    return f"SELECT {name} AS name, s, p, o, o_id {_of_property(p)} AND {tests}"
+
+
+def _reductions_by_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _created_store(spark, sf_dir)
+    patterns = tw.encode_patterns(tw.pattern_table(spark, WORKLOAD), store.dictionary)
+    return tw.workload_reductions(store, patterns.drop("matched"))
+
+
+_register(
+    "f5_workload_reductions_by_filters", _reductions_by_filters,
+    "\nUNION ALL\n".join({_reduction_name(*r): _reduction_enc_sql(*r) for r in _REDUCTIONS}.values()),
+)
+
+# Nothing is placed by a region: both reductions are empty.
+NOTHING = [("?n", REGION, "?r"), ("?r", PLACED, "?c")]
+_NO_ROWS = {_reduction_name(*r): _reduction_sql(*r) for r in [(REGION, "o", [(PLACED, "s")]), (PLACED, "s", [(REGION, "o")])]}
+
+
+def _grown_workload(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Reductions of one query, then of a workload with that query in it."""
+    def make() -> tuple[str, DataFrame]:
+        path, store = scratch_path(spark, "reductions"), _raw_property_store(spark, sf_dir)
+        tw.write_workload(store, tw.pattern_table(spark, {"chain": WORKLOAD["chain"]}), path)
+        return path, tw.write_workload(store, tw.pattern_table(spark, WORKLOAD | {"nothing": NOTHING}), path)
+
+    return _shared("workload", spark, sf_dir, make)
+
+
+_register(
+    "a6_write_workload", lambda spark, sf_dir: _grown_workload(spark, sf_dir)[1],
+    f"""SELECT name, count(s) AS n_rows FROM (
+  {_REDUCTIONS_SQL}
+UNION ALL
+  {" UNION ALL ".join(_NO_ROWS.values())}
+UNION ALL
+  SELECT unnest([{", ".join(f"'{name}'" for name in [*dict.fromkeys(_reduction_name(*r) for r in _REDUCTIONS), *_NO_ROWS])}]), NULL, NULL, NULL
+) AS r GROUP BY name""",
+)
+
+
+def _empty_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Solutions of a query with a reduction that is known to be empty, and of one without."""
+    path, _ = _grown_workload(spark, sf_dir)
+    store = _raw_property_store(spark, sf_dir)
+    counted = [
+        tw.count_results(tw.reduced_bgp(store, patterns, stored=path)).withColumn("query_id", F.lit(query_id))
+        for query_id, patterns in (("nothing", NOTHING), ("chain", WORKLOAD["chain"]))
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
+_register(
+    "a6_empty_reduction", _empty_reduction,
+    f"""SELECT 'nothing' AS query_id, count(*) AS n_results FROM triples a JOIN triples b ON b.s = a.o
+WHERE a.p = '{REGION}' AND b.p = '{PLACED}'
+UNION ALL SELECT 'chain', count(*) FROM ({_CHAIN_SQL}) AS r""",
+)
+_register(
+    "h1_workload_candidates",
+    lambda spark, sf_dir: tw.workload_candidates(
+        _filters(spark, sf_dir), tw.encode_patterns(_workload(spark, sf_dir), _dictionary(spark, sf_dir))),
+    f""", w AS ({_WORKLOAD_SQL})
+SELECT DISTINCT w.query_id, w.pattern_id, e.p FROM w JOIN dict d ON d.term = w.s JOIN enc e ON e.s = d.id
+WHERE w.p LIKE '?%' AND w.o LIKE '?%'""",
+)
+
+
+def _bucketed_store(spark: SparkSession, sf_dir: str) -> tw.PropertyStore:
+    """The encoded triples with every property dealt to the same buckets of subjects."""
+    def make() -> tw.PropertyStore:
+        path = scratch_path(spark, "bucketed")
+        tw.write_properties(_store(spark, sf_dir), path, n_buckets=8)
+        return tw.PropertyStore(spark, path)
+
+    return _shared("bucketed", spark, sf_dir, make)
+
+
+def _bucketed_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dictionary = _dictionary(spark, sf_dir)
+    return tw.decode_bindings(tw.bgp(_bucketed_store(spark, sf_dir), tw.encode_query(STAR, dictionary)), dictionary)
+
+
+_register("a4_write_buckets", lambda spark, sf_dir: _bucketed_store(spark, sf_dir).table, "SELECT s, p, o, o_id FROM enc")
+_register("k1_bucketed_star", _bucketed_star, _STAR_SQL)
 _STATS_SQL = """SELECT p, count(*) AS n,
   CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM triples) AS ratio,
   count(DISTINCT s) AS n_s, count(DISTINCT o) AS n_o FROM {table} GROUP BY p"""

@@ -3,13 +3,14 @@
 An exact filter has the columns `bucket, bits`; a Bloom filter also has
 `n_buckets, n_probes`, the same in each of its rows. Each key sets and tests
 bits of one 64-bit word only, so building is one hash aggregate and probing
-one equi-join, whatever the number of probes. Nothing is ever assembled on the
-driver, and Spark broadcasts a filter only if it is small enough.
+one equi-join, whatever the number of probes. Filters are broadcast only after
+a count of their words, a large one in pieces.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +27,11 @@ from tripleweft.functions.bits import (
 from tripleweft.functions.terms import is_literal_text, object_key, position_equals
 from tripleweft.operators.joins import semi_join
 from tripleweft.operators.layout import intersect_properties
-from tripleweft.session import materialize
+from tripleweft.session import BROADCAST_BYTES, materialize
 from tripleweft.sources.properties import PropertyStore, all_rows, only_properties
 
+WORD_BYTES = 48  # of a filter's row in a broadcast table, its place in the hash table included
+MAX_PIECES = 8  # broadcast pieces of one filter
 _COUNT_ERROR = 0.05  # relative error of the distinct counts that size Bloom filters
 _HEADROOM = 1.0 + 3 * _COUNT_ERROR
 
@@ -85,20 +88,45 @@ def is_bloom(filters: DataFrame) -> bool:
 
 
 def probe_exact(df: DataFrame, col: str, filter: DataFrame) -> DataFrame:
-    """Rows of `df` whose id in `col` is in the filter."""
+    """Rows of `df` whose id in `col` is in the filter.
+
+    A filter of up to MAX_PIECES * BROADCAST_BYTES bytes, by a count of its
+    words, is broadcast in pieces of at most BROADCAST_BYTES, and `df` is not
+    moved. A larger one is joined by a shuffle of both.
+    """
     words = filter.select(F.col("bucket").alias("key"), F.col("bits").alias("_bits"))
-    test = holds(F.col("_bits"), exact_mask(F.col(col)))
-    return semi_join(df, exact_bucket(F.col(col)), words, test)
+    bucket, mask = exact_bucket(F.col(col)), exact_mask(F.col(col))
+    return _probe(df, bucket, words, lambda bits: holds(bits, mask))
+
+
+def _probe(df: DataFrame, bucket: Column, words: DataFrame, test: Callable[[Column], Column]) -> DataFrame:
+    words = materialize(words, "filter")  # counted and then read, so built once
+    pieces = -(-words.count() * WORD_BYTES // BROADCAST_BYTES)
+    if pieces > MAX_PIECES:
+        return semi_join(df, bucket, words, test(F.col("_bits")))
+    if pieces <= 1:
+        words = words.withColumnRenamed("key", "_right_key")
+        return df.join(F.broadcast(words), (bucket == F.col("_right_key")) & test(F.col("_bits")), "left_semi")
+    # a bucket is in one piece only, so at most one of the outer joins finds it
+    found = df
+    for i in range(pieces):
+        piece = words.where(F.pmod(F.xxhash64("key"), F.lit(pieces)) == i).toDF(f"_key{i}", f"_bits{i}")
+        found = found.join(F.broadcast(piece), bucket == F.col(f"_key{i}"), "left")
+    bits = F.coalesce(*[F.col(f"_bits{i}") for i in range(pieces)])
+    return found.where(test(bits)).select(*df.columns)
 
 
 def probe_bloom(df: DataFrame, col: str, filter: DataFrame) -> DataFrame:
-    """Rows of `df` whose id in `col` may be in the filter; none is missed."""
+    """Rows of `df` whose id in `col` may be in the filter; none is missed.
+
+    Broadcast in pieces or shuffled as by `probe_exact`.
+    """
     shape = filter.agg(F.struct(_single("n_buckets"), _single("n_probes")).alias("shape")).scalar()
     words = filter.select(F.col("bucket").alias("key"), F.col("bits").alias("_bits"))
     rows = df.withColumn("_shape", shape)
     bucket = bloom_bucket(F.col(col), F.col("_shape.n_buckets"))
     mask = bloom_mask(F.col(col), F.col("_shape.n_probes"))
-    return semi_join(rows, bucket, words, holds(F.col("_bits"), mask)).drop("_shape")
+    return _probe(rows, bucket, words, lambda bits: holds(bits, mask)).drop("_shape")
 
 
 def _single(column: str) -> Column:
@@ -140,6 +168,20 @@ def build_all_filters(enc: DataFrame, kind: str = "exact", fpp: float = 0.01) ->
     return _bloom_words(keys.join(sizes, ["p", "col"]), ["p", "col"], fpp)
 
 
+def common_filter(filters: DataFrame, columns: Sequence[tuple]) -> DataFrame:
+    """Exact filter (`bucket, bits`) of the nodes that every one of the `columns` holds.
+
+    `filters` are the exact ones of all properties; a column is a pair of a
+    property, or None for all of them, and a side. One aggregate ANDs the words
+    of the columns; no triples are read.
+    """
+    tests = [(F.col("col") == side) & (F.lit(True) if p is None else F.col("p") == F.lit(p)) for p, side in dict.fromkeys(columns)]
+    held = [F.bit_or(F.when(test, F.col("bits"))).alias(f"_{i}") for i, test in enumerate(tests)]
+    bits = reduce(Column.bitwiseAND, [F.col(f"_{i}") for i in range(len(tests))])  # null where one has no word
+    read = filters.where(reduce(Column.__or__, tests))
+    return read.groupBy("bucket").agg(*held).select("bucket", bits.alias("bits")).where("bits <> 0")
+
+
 def write_filters(filters: DataFrame, path: str) -> None:
     """Store the filters of all properties, in the order constants are looked up."""
     (
@@ -178,6 +220,32 @@ def _holding(filters: DataFrame, side: str, term) -> DataFrame:
     return filters.where(found).select("p").distinct()
 
 
+def workload_candidates(filters: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Candidates of all patterns of a workload with a variable predicate: `query_id, pattern_id, p`.
+
+    `patterns` is an encoded table `query_id, pattern_id, s, p, o`. All constant
+    nodes are looked up by one join with the filters, on side and bucket, and a
+    bit test; a property is a candidate if it holds every constant of the
+    pattern. Patterns without constant nodes have every property as candidate
+    and are left out.
+    """
+    sides = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).try_cast("bigint").alias("key")) for c in "so"])
+    unbound = patterns.where(F.startswith("p", F.lit("?"))).select("query_id", "pattern_id", F.inline(sides))
+    constants = unbound.where("key IS NOT NULL")
+    key = F.col("key")
+    if is_bloom(filters):  # the bucket depends on the size of each filter
+        shapes = filters.select("p", "col", "n_buckets", "n_probes").distinct()
+        asked = constants.join(shapes, "col").withColumn("bucket", bloom_bucket(key, F.col("n_buckets")))
+        found = asked.join(filters.select("p", "col", "bucket", "bits"), ["p", "col", "bucket"])
+        found = found.where(holds(F.col("bits"), bloom_mask(key, F.col("n_probes"))))
+    else:
+        asked = constants.withColumn("bucket", exact_bucket(key))
+        found = asked.join(filters, ["col", "bucket"]).where(holds(F.col("bits"), exact_mask(key)))
+    held = found.groupBy("query_id", "pattern_id", "p").agg(F.count_distinct("col").alias("held"))
+    wanted = constants.groupBy("query_id", "pattern_id").agg(F.count_distinct("col").alias("held"))
+    return held.join(wanted, ["query_id", "pattern_id", "held"], "left_semi").select("query_id", "pattern_id", "p")
+
+
 def verify_properties(
     triples: DataFrame | PropertyStore, candidates: DataFrame | None = None, s=None, o=None
 ) -> DataFrame:

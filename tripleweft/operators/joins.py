@@ -96,3 +96,21 @@ def semi_join(
     if residual is not None:
         condition = condition & residual
     return rows.join(right, condition, "left_semi")
+
+
+def semi_join_or_null(
+    rows: DataFrame, key: Column, keys: DataFrame, residual: Column | None = None
+) -> DataFrame:
+    """Rows whose `key` is null or occurs in the `key` column of `keys`, read once.
+
+    A test by an outer join with the distinct keys. Rows without a key would
+    all meet in one partition; they are spread by a hash of the row instead.
+    """
+    right = keys.distinct().withColumnRenamed("key", "_right_key").withColumn("_found", F.lit(True))
+    other = F.col("_right_key")
+    spread = F.when(key.isNull(), F.xxhash64(*rows.columns)).otherwise(F.xxhash64(key))
+    condition = (spread == F.xxhash64(other)) & (key == other)
+    if residual is not None:
+        condition = condition & residual
+    found = rows.join(right, condition, "left").where(key.isNull() | F.col("_found"))
+    return found.select(*rows.columns)

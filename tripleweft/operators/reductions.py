@@ -15,14 +15,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleweft.functions.terms import (
-    is_literal,
     is_resource,
     is_variable,
     position_equals,
     position_key,
 )
-from tripleweft.operators.filters import candidate_properties, verify_properties
-from tripleweft.operators.joins import semi_join
+from tripleweft.functions.bits import exact_bucket, exact_mask, holds
+from tripleweft.operators.filters import (
+    build_exact_filter,
+    candidate_properties,
+    common_filter,
+    is_bloom,
+    verify_properties,
+)
+from tripleweft.operators.joins import semi_join, semi_join_or_null
 from tripleweft.operators.patterns import Pattern
 from tripleweft.session import broadcast_if_small, materialize
 from tripleweft.sources.properties import PropertyStore, all_rows, only_properties, rows_of
@@ -32,6 +38,8 @@ ANY = "ANY"
 TAG = {"s": "_TRPS", "o": "_TRPO"}
 JOIN = "_JOIN_"
 
+_EXPANSION_PARTS = 16
+
 OWN = object()  # partner property: the one the row itself belongs to
 
 
@@ -62,12 +70,17 @@ def reduce_object(prop: DataFrame, partners: Sequence[DataFrame]) -> DataFrame:
 def _reduce(
     rows: DataFrame, position: str, keys: DataFrame, node: Callable[[Column], Column] = lambda c: c
 ) -> DataFrame:
-    """Rows whose node at `position` is in `keys`; literals pass."""
+    """Rows whose node at `position` is in `keys`; literals pass.
+
+    `keys` has a column `key`, or is an exact filter. The rows are read once.
+    """
     key = node(position_key(rows, position))
-    if position == "s":
-        return semi_join(rows, key, keys)
-    resources = semi_join(rows.where(~is_literal("o")), key, keys)
-    return resources.unionByName(rows.where(is_literal("o")))
+    residual = None
+    if "bits" in keys.columns:
+        keys = keys.select(F.col("bucket").alias("key"), F.col("bits").alias("_bits"))
+        key, residual = exact_bucket(key), holds(F.col("_bits"), exact_mask(key))
+    join = semi_join if position == "s" else semi_join_or_null
+    return join(rows, key, keys, residual)
 
 
 def _common_keys(partners: Sequence[DataFrame]) -> DataFrame:
@@ -161,18 +174,22 @@ def reduce_pattern(
     `stored` holds reductions that exist already, by name, the smaller ones
     first: the first that fits is read in place of the property and not cut
     again. `shared` holds the key sets made by `shared_keys`, for reducing all
-    patterns of a query.
+    patterns of a query. Where the source has exact filters these stand for the
+    partner columns, which are then not read.
     """
     fitting = set(reduction_names(pattern, patterns).values()) if stored else set()
     for name, rows in (stored or {}).items():
         if name in fitting:
             return rows
     rows = read_pattern(triples, pattern)
+    filters = exact_filters(triples)
     for position, columns in find_partners(pattern, patterns).items():
         of_others = [c for c in columns if c[0] is not OWN]
         if of_others:
             name = pattern["spo".index(position)]
-            if shared is None:
+            if shared is None and filters is not None:
+                keys = common_filter(filters, [_filter_column(c) for c in of_others])
+            elif shared is None:
                 keys = _common_keys([partner_keys(triples, c) for c in of_others])
             else:
                 keys = shared[name]
@@ -191,8 +208,11 @@ def shared_keys(
     All patterns of a variable then join one and the same set, so Spark
     computes it once and reuses its exchange. With `constants`, a pattern's
     column has only the rows with the pattern's constants: smaller sets that
-    serve just this query, as stored reductions must not.
+    serve just this query, as stored reductions must not. With exact filters a
+    set is a filter as well: the words of all columns without constants, and of
+    the few rows that have a pattern's constants.
     """
+    filters = exact_filters(triples)
     columns: dict[str, dict[tuple, None]] = {}
     for s, p, o in patterns:
         prop = ANY if is_variable(p) else p
@@ -200,23 +220,56 @@ def shared_keys(
         for term in dict.fromkeys((s, o)):
             if is_variable(term):
                 columns.setdefault(term, {})[((prop, "s" if term == s else "o"), held)] = None
+    if filters is not None:
+        return {name: _shared_filter(triples, filters, list(found)) for name, found in columns.items()}
     return {
         name: _common_keys([partner_keys(triples, *c) for c in found])
         for name, found in columns.items()
     }
 
 
+def exact_filters(triples: DataFrame | PropertyStore) -> DataFrame | None:
+    """The exact filters of all properties that a source was given, if any."""
+    filters = getattr(triples, "filters", None)
+    return None if filters is None or is_bloom(filters) else filters
+
+
+def _filter_column(column: tuple) -> tuple:
+    p, side = column
+    return (None if p == ANY else int(p)), side
+
+
+def _shared_filter(triples: DataFrame | PropertyStore, filters: DataFrame, found: list[tuple]) -> DataFrame:
+    """Filter of the nodes in all columns; `found` has pairs of a column and its constants."""
+    whole = [_filter_column(column) for column, held in found if not held]
+    parts = [common_filter(filters, whole)] if whole else []
+    parts += [build_exact_filter(partner_keys(triples, column, held)) for column, held in found if held]
+    words = [part.toDF("bucket", f"_{i}") for i, part in enumerate(parts)]
+    bits = reduce(Column.bitwiseAND, [F.col(f"_{i}") for i in range(len(parts))])
+    joined = reduce(lambda a, b: a.join(b, "bucket"), words)
+    return joined.select("bucket", bits.alias("bits")).where("bits <> 0")
+
+
 def _reduce_within_property(
     rows: DataFrame, triples: DataFrame, position: str, other: str
 ) -> DataFrame:
     """Rows whose node occurs in the `other` column of their own property."""
+    filters = exact_filters(triples)
+    if filters is not None:
+        words = filters.where(F.col("col") == other)
+        words = words.select(F.struct("p", F.col("bucket").alias("node")).alias("key"), F.col("bits").alias("_bits"))
+        key = position_key(rows, position)
+        bucket = F.when(key.isNotNull(), F.struct(F.col("p"), exact_bucket(key).alias("node")))
+        join = semi_join if position == "s" else semi_join_or_null
+        return join(rows, bucket, words, holds(F.col("_bits"), exact_mask(key)))
     keys = (
         all_rows(triples)
         .select(F.struct("p", position_key(triples, other).alias("node")).alias("key"))
         .where("key.node IS NOT NULL")
     )
     return _reduce(
-        rows, position, keys, lambda node: F.struct(F.col("p"), node.alias("node"))
+        rows, position, keys,
+        lambda node: F.when(node.isNotNull(), F.struct(F.col("p"), node.alias("node"))),
     )
 
 
@@ -325,12 +378,16 @@ def _expand(occurrences: DataFrame, properties: DataFrame | None) -> DataFrame:
     """Adds `own, partners`, the tags that make up a name.
 
     An unbound pattern speaks for the property it reads, and is repeated for
-    each of `properties`.
+    each of `properties`. That is a join on a number: the properties are dealt
+    to parts, and an occurrence goes to every part, so that neither side meets
+    in one task.
     """
     if properties is not None:
-        # the property names of the data, the size of a schema
-        names = properties.agg(F.collect_set(F.col("p").cast("string")).alias("names")).scalar()
-        expanded = occurrences.where("unbound").withColumn("p", F.explode(names))
+        names = properties.select(F.col("p").cast("string").alias("p")).distinct()
+        names = names.withColumn("part", F.pmod(F.xxhash64("p"), F.lit(_EXPANSION_PARTS)))
+        parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_EXPANSION_PARTS - 1).cast("bigint")))
+        unbound = occurrences.where("unbound").drop("p").withColumn("part", parts)
+        expanded = unbound.join(names, "part").drop("part")
         occurrences = occurrences.where("NOT unbound").unionByName(expanded)
 
     def tag(side: str) -> Column:
@@ -346,33 +403,42 @@ def _expand(occurrences: DataFrame, properties: DataFrame | None) -> DataFrame:
 
 
 def workload_reductions(
-    triples: DataFrame | PropertyStore, patterns: DataFrame
+    triples: DataFrame | PropertyStore, patterns: DataFrame, recorded: DataFrame | None = None
 ) -> DataFrame:
     """Every distinct reduction of a workload, computed once: `name` + triples.
 
-    The number of jobs and shuffles does not depend on how many reductions
-    there are. The columns a node occurs in are gathered per node; a node
-    survives a reduction if they include all partners; the rows of the
-    surviving nodes are the reduction. Columns and reductions are numbered, so
-    that what is shuffled per node and row is numbers, not names.
+    Reductions named in `recorded` (column `name`) are left out before anything
+    is read for them. The number of jobs and shuffles does not depend on how
+    many reductions there are. The columns a node occurs in are gathered per
+    node; a node survives a reduction if they include all partners; the rows of
+    the surviving nodes are the reduction. Columns and reductions are numbered,
+    so that what is shuffled per node and row is numbers, not names. Where the
+    source has exact filters their words are gathered in place of the nodes,
+    and only the rows of the reduced columns are read.
     """
     table = all_rows(triples)
     p_type = table.schema["p"].dataType
     shapes = _occurrences(patterns).drop("query_id", "pattern_id").distinct()
-    wanted, columns = _numbered(_expand(shapes, table.select("p").distinct()), p_type)
-
-    survivors = (
-        _mentions(triples, columns)
-        .groupBy("key")
-        .agg(F.collect_set("column").alias("columns"))
-        .withColumn("own", F.explode("columns"))
-        .join(wanted.select("reduction", "own", "partners"), "own")
-        .where(F.size(F.array_except("partners", "columns")) == 0)
-        .select("reduction", F.col("own").alias("column"), "key")
-    )
+    wanted, columns = _numbered(_expand(shapes, table.select("p").distinct()), p_type, recorded)
+
     own_columns = columns.join(wanted.select(F.col("own").alias("column")), "column", "left_semi")
     own_rows = _by_column(triples, own_columns, "inner")
-    kept = own_rows.where("key IS NOT NULL").join(survivors, ["column", "key"])
+    filters = exact_filters(triples)
+    if filters is None:
+        survivors = (
+            _mentions(triples, columns)
+            .groupBy("key")
+            .agg(F.collect_set("column").alias("columns"))
+            .withColumn("own", F.explode("columns"))
+            .join(wanted.select("reduction", "own", "partners"), "own")
+            .where(F.size(F.array_except("partners", "columns")) == 0)
+            .select("reduction", F.col("own").alias("column"), "key")
+        )
+        kept = own_rows.where("key IS NOT NULL").join(survivors, ["column", "key"])
+    else:
+        words = _surviving_words(filters, wanted, columns)
+        named = own_rows.where("key IS NOT NULL").withColumn("bucket", exact_bucket(F.col("key")))
+        kept = named.join(words, ["column", "bucket"]).where(holds(F.col("bits"), exact_mask(F.col("key"))))
     # literals cannot be partners and pass every reduction of their column
     literals = own_rows.where("key IS NULL").join(
         wanted.select("reduction", F.col("own").alias("column")), "column"
@@ -385,7 +451,20 @@ def workload_reductions(
     )
 
 
-def _numbered(definitions: DataFrame, p_type) -> tuple[DataFrame, DataFrame]:
+def _surviving_words(filters: DataFrame, wanted: DataFrame, columns: DataFrame) -> DataFrame:
+    """`reduction, column, bucket, bits`: the nodes that all partners of a reduction hold."""
+    named = columns.where("p IS NOT NULL").select("column", "p", F.col("side").alias("col"))
+    of_any = columns.where("is_any").select("column", F.col("side").alias("col"))
+    any_words = filters.groupBy("col", "bucket").agg(F.bit_or("bits").alias("bits"))
+    held = filters.join(broadcast_if_small(named), ["p", "col"]).select("column", "bucket", "bits")
+    held = held.unionByName(any_words.join(broadcast_if_small(of_any), "col").select("column", "bucket", "bits"))
+    asked = wanted.select("reduction", "own", F.size("partners").alias("n"), F.explode("partners").alias("column"))
+    words = held.join(asked, "column").groupBy("reduction", F.col("own").alias("column"), "n", "bucket")
+    words = words.agg(F.count(F.lit(1)).alias("found"), F.bit_and("bits").alias("bits"))
+    return words.where("found = n AND bits <> 0").select("reduction", "column", "bucket", "bits")
+
+
+def _numbered(definitions: DataFrame, p_type, recorded: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Distinct reductions and the columns they name, numbered and written.
 
     Both tables are as small as the workload's vocabulary: `reduction, name,
@@ -394,6 +473,8 @@ def _numbered(definitions: DataFrame, p_type) -> tuple[DataFrame, DataFrame]:
     and fixed by the writing.
     """
     distinct = definitions.select(_name().alias("name"), "own", "partners").distinct()
+    if recorded is not None:
+        distinct = distinct.join(recorded.select("name"), "name", "left_anti")
     distinct = materialize(
         distinct.withColumn("reduction", F.monotonically_increasing_id()), "workload"
     )

@@ -10,8 +10,8 @@ from tripleweft.functions.terms import is_encoded, is_variable
 from tripleweft.operators.joins import join_bindings
 from tripleweft.operators.patterns import Pattern, match_pattern, node_variables, variables
 from tripleweft.operators.reductions import candidate_rows, reduce_pattern, reduction_names, shared_keys
-from tripleweft.sources.properties import PropertyStore, rows_of, version_of
-from tripleweft.sources.reductions import read_stored
+from tripleweft.sources.properties import PropertyStore, all_rows, rows_of, version_of
+from tripleweft.sources.reductions import read_reduction, recorded_sizes
 
 
 def mentioned(patterns: Sequence[Pattern]) -> list[str]:
@@ -71,13 +71,19 @@ def reduced_bgp(
 
     Reductions written below the path `stored` are read instead of computed:
     for each pattern the smaller one recorded for the files of `triples`, which
-    is not cut any further.
+    is not cut any further. If one of them is recorded as empty there are no
+    solutions, and nothing is read. Where `triples` has exact filters, they
+    stand for the partner columns of patterns without constants.
     """
     known = {}
     if stored is not None:
-        version = version_of(triples)
+        spark, version = triples.sparkSession, version_of(triples)
         names = {n for pattern in patterns for n in reduction_names(pattern, patterns).values()}
-        known = read_stored(triples.sparkSession, stored, names, is_encoded(triples), version)
+        sizes = recorded_sizes(spark, stored, names, version)
+        if 0 in sizes.values():
+            none = spark.createDataFrame([], all_rows(triples).schema)
+            return bgp(none, patterns, select, allow_product, [none] * len(patterns))
+        known = {name: read_reduction(spark, stored, name, is_encoded(triples), version) for name in sizes}
     live = [q for q in patterns if not known.keys() & set(reduction_names(q, patterns).values())]
     keys = shared_keys(triples, patterns, constants=True) if live else {}
     inputs = [reduce_pattern(triples, pattern, patterns, known, keys) for pattern in patterns]

@@ -9,10 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleweft.operators.patterns import Pattern
-from tripleweft.operators.reductions import read_pattern, reduce_pattern, shared_keys
+from tripleweft.operators.reductions import (
+    read_pattern,
+    reduce_pattern,
+    reduction_keys,
+    shared_keys,
+    workload_reductions,
+)
 from tripleweft.operators.stats import count_results
 from tripleweft.plans.bgp import bgp
-from tripleweft.sources.properties import PropertyStore
+from tripleweft.session import materialize
+from tripleweft.sources.properties import PropertyStore, all_rows, version_of
+from tripleweft.sources.reductions import read_catalog, write_reductions
 
 
 def pattern_table(spark: SparkSession, queries: Mapping[str, Sequence[Pattern]]) -> DataFrame:
@@ -27,6 +35,22 @@ def pattern_table(spark: SparkSession, queries: Mapping[str, Sequence[Pattern]])
     )
 
 
+def write_workload(triples: DataFrame | PropertyStore, patterns: DataFrame, path: str) -> DataFrame:
+    """Compute and store the reductions of a workload that are not recorded yet; returns the catalog.
+
+    What is recorded for these triples is taken out first, so a workload that
+    has grown by a query costs the reading of that query's columns. Empty
+    reductions are recorded too.
+    """
+    spark, version = triples.sparkSession, version_of(triples)
+    recorded = read_catalog(spark, path, version).select("name")
+    names = reduction_keys(patterns, all_rows(triples).select("p").distinct()).select("name").distinct()
+    new = materialize(names.join(recorded, "name", "left_anti"), "names")
+    if new.isEmpty():
+        return read_catalog(spark, path, version)
+    return write_reductions(workload_reductions(triples, patterns, recorded), path, triples, new)
+
+
 def workload_report(triples: DataFrame | PropertyStore, queries: Mapping[str, Sequence[Pattern]]) -> DataFrame:
     """Per query: results, input rows before and after reduction, and its shape.
 

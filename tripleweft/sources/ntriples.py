@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 # Subject and predicate, then an object, a final dot and perhaps a comment.
 # Blanks may be spaces or tabs and may be missing where a bracket or a quote
-# ends a term. A literal ends at its quote; one with bare quotes inside, which
-# is not valid, ends at the last one before the dot.
-_NODE = r'(?:<([^<>"]*)>|([^\s<>"#]\S*)(?=\s))'
+# ends a term. A literal ends at its first quote that is not escaped.
+_NODE = r'(?:<([^<>"]+)>|([^\s<>"#]\S*)(?=\s))'
 _TAG = r"(?:@[A-Za-z0-9-]+|\^\^<[^<>]*>|\^\^[^\s<>\".]+)?"
-_LITERAL = rf'("[^"\\]*+(?:\\.[^"\\]*+)*+"{_TAG}|".*"{_TAG})'
-_STATEMENT = rf'^\s*{_NODE}\s*{_NODE}\s*(?:<([^<>"]*)>|([^\s<>"#]\S*?)|{_LITERAL})\s*\.\s*(?:#.*)?$'
+_LITERAL = rf'("[^"\\]*+(?:\\.[^"\\]*+)*+"{_TAG})'
+_STATEMENT = rf'^\s*{_NODE}\s*{_NODE}\s*(?:<([^<>"]+)>|([^\s<>"#]\S*?)|{_LITERAL})\s*\.\s*(?:#.*)?$'
 _NO_STATEMENT = r"^\s*(?:#.*)?$"
 
 
@@ -26,8 +25,9 @@ def read_ntriples(spark: SparkSession, path: str, sep: str | None = None, mode:
     Angle brackets are taken off; literals keep their spaces, quotes, tags and
     datatypes. Spaces and tabs may separate terms in any mixture, so `sep`
     makes no difference and is kept for callers that name one. Blank lines and
-    comments are no statements. Other lines that are not read are skipped,
-    and `refused_lines` returns them; with `mode="fail"` they raise an error.
+    comments are no statements. Other lines that are not read are skipped, those
+    with an empty term `<>` or a literal with bare quotes inside among them, and
+    `refused_lines` returns them; with `mode="fail"` they raise an error.
     """
     if mode not in ("skip", "fail"):
         raise ValueError(f"mode is skip or fail, not {mode!r}")
@@ -43,7 +43,7 @@ def read_ntriples(spark: SparkSession, path: str, sep: str | None = None, mode:
         refused = F.raise_error(F.concat(F.lit("not a statement: "), line)).cast("boolean")
         read = F.when(read, F.lit(True)).otherwise(refused)
     parsed = lines.where(read).select(group(1, 2).alias("s"), group(3, 4).alias("p"), group(5, 6, 7).alias("o"))
-    return parsed.where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL")
+    return parsed
 
 
 def refused_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -41,7 +41,10 @@ def read_catalog(spark: SparkSession, path: str, version: str = "") -> DataFrame
 
 
 def write_reductions(
-    reductions: DataFrame, path: str, source: DataFrame | PropertyStore | None = None
+    reductions: DataFrame,
+    path: str,
+    source: DataFrame | PropertyStore | None = None,
+    names: DataFrame | None = None,
 ) -> DataFrame:
     """Store the reductions that are not recorded yet; returns the catalog.
 
@@ -55,7 +58,8 @@ def write_reductions(
     finds nothing recorded and overwrites just those partitions, so nothing
     is stored twice. Rows carry the call that wrote them, and only this call's
     are recorded, never what a dead run of another workload left half-written.
-    An empty reduction has no rows, hence no record.
+    An empty reduction has no rows; those of `names` (column `name`, all that
+    were asked for) without a row are recorded with size 0.
     """
     spark, run = reductions.sparkSession, uuid.uuid4().hex
     version = "" if source is None else version_of(source)
@@ -72,6 +76,9 @@ def write_reductions(
     )
     stored = spark.read.schema(DATA_SCHEMA[is_encoded(reductions)]).parquet(f"{path}/data")
     sizes = stored.where(F.col("run") == run).groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"))
+    if names is not None:
+        asked = names.select("name").distinct().join(recorded, "name", "left_anti")
+        sizes = asked.join(sizes, "name", "left").select("name", F.coalesce("n_rows", F.lit(0).cast("bigint")).alias("n_rows"))
     sizes.withColumn("source", F.lit(version)).write.mode("append").parquet(f"{path}/catalog")
     return read_catalog(spark, path, version)
 
@@ -86,12 +93,15 @@ def read_reduction(
     return stored.where(F.col("name") == name).drop("name", "run", "slot")
 
 
+def recorded_sizes(spark: SparkSession, path: str, names: Iterable[str], version: str = "") -> dict[str, int]:
+    """Rows of those of the named reductions that are recorded, the smaller first."""
+    recorded = read_catalog(spark, path, version).where(F.col("name").isin(list(names))).orderBy("n_rows", "name")
+    return {row["name"]: row["n_rows"] for row in recorded.collect()}  # at most one row for each given name
+
+
 def read_stored(
     spark: SparkSession, path: str, names: Iterable[str], encoded: bool = True, version: str = ""
 ) -> dict[str, DataFrame]:
-    """Those of the named reductions that are recorded, as tables by name, the smaller first."""
-    recorded = read_catalog(spark, path, version).where(F.col("name").isin(list(names))).orderBy("n_rows", "name")
-    return {
-        row["name"]: read_reduction(spark, path, row["name"], encoded, version)
-        for row in recorded.collect()  # at most one row for each given name
-    }
+    """Those of the named reductions that are recorded and not empty, as tables by name, the smaller first."""
+    sizes = recorded_sizes(spark, path, names, version)
+    return {name: read_reduction(spark, path, name, encoded, version) for name, n in sizes.items() if n}
