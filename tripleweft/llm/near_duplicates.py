@@ -175,6 +175,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     doc_id are one node: each is linked if its own text is. Other columns are
     ignored and an empty table gives an empty result.
     """
+    return _labelled(docs, percent).drop("set_a", "set_b")
+
+
+def _labelled(docs: DataFrame, percent: int) -> DataFrame:
+    """`near_duplicates` with `set_a, set_b`, the hashes of each row's set of shingles."""
     prepare(docs.sparkSession)
     signed = materialize(minhash_bands(docs), "signatures")
     keys = ["set_a", "set_b"]
@@ -213,12 +218,31 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return (
         signed.select("doc_id", "n_shingles", *keys)
         .join(named, keys, "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+        .select("doc_id", "n_shingles", *keys, F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs`, with all columns, that stay: one document of each group."""
-    gone = near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of `docs`, with all columns, that stay: one document of each group.
+
+    Each row is judged by its own text: of rows that repeat a doc_id with
+    different texts some may stay, and of those with equal sets of shingles one
+    stays. Rows without words and rows without a doc_id all stay; an empty
+    table gives no rows.
+    """
+    labelled = materialize(_labelled(docs, percent), "labels")
+    by_id = labelled.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("stay"))
+    once = docs.join(by_id.where("rows > 1 OR stay = 0").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = materialize(by_id.where("rows > 1 AND stay > 0").select("doc_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return once
+    numbered = docs.join(repeated, "doc_id", "left_semi").withColumn("_row", F.monotonically_increasing_id())
+    rows = materialize(numbered, "repeated-rows")
+    sets = minhash_bands(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
+    key = ["doc_id", "set_a", "set_b"]
+    stays = rows.select("_row", "doc_id").join(sets.select("_row", "n_shingles", "set_a", "set_b"), "_row")
+    stays = stays.join(labelled.where("kept").select(*key).distinct(), key)
+    first = stays.where("n_shingles > 0").groupBy(*key).agg(F.min("_row").alias("_row")).select("_row")
+    first = first.unionByName(stays.where("n_shingles = 0").select("_row"))
+    return once.unionByName(rows.join(first, "_row", "left_semi").select(*docs.columns))

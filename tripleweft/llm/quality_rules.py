@@ -29,19 +29,23 @@ STATISTICS = {
     "repeat_rate": (0.99, 2.0, 0.01),
     "mean_chars": (0.8, 4.5, 0.1),
 }
-_BLANK, _NOT_BLANK = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+_NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 # One number per 3-word window, its hash above its position; sorted, equal
-# windows are neighbours. The position takes the bits the text's length needs.
+# windows are neighbours. The position takes the bits the text's length needs,
+# so windows found alike are only likely to be; they are compared by whole hashes.
 _BITS = "length(bin(size(words)))"
 _PACKED = f"""CASE WHEN size(words) < 3 THEN CAST(array() AS array<bigint>) ELSE sort_array(transform(
   sequence(0, size(words) - 3),
   i -> shiftleft(xxhash64(words[i], words[i + 1], words[i + 2]), {_BITS}) | i)) END"""
-_REPEATED = f"""sort_array(transform(
+_LIKELY = f"""transform(
   filter(packed, (x, i) ->
     shiftrightunsigned(x, {_BITS}) = shiftrightunsigned(get(packed, i - 1), {_BITS}) OR
     shiftrightunsigned(x, {_BITS}) = shiftrightunsigned(get(packed, i + 1), {_BITS})),
-  x -> x & (shiftleft(1L, {_BITS}) - 1)))"""
+  x -> CAST(x & (shiftleft(1L, {_BITS}) - 1) AS INT))"""
+_HASHED = """sort_array(transform(likely, p -> struct(xxhash64(words[p], words[p + 1], words[p + 2]) AS h, p AS p)))"""
+_REPEATED = """sort_array(transform(
+  filter(hashed, (x, i) -> x.h = get(hashed, i - 1).h OR x.h = get(hashed, i + 1).h), x -> CAST(x.p AS BIGINT)))"""
 _COVERED = """aggregate(
   transform(repeated, (p, i) -> least(3L, coalesce(get(repeated, i + 1), p + 3) - p)), 0L, (a, b) -> a + b)"""
 
@@ -52,13 +56,14 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     `n_words`, `word_chars`, `n_symbols`, `n_dup_lines`, `n_repeat_words` and
     `n_lines`. A null text has zeros.
     """
-    trimmed = F.regexp_replace("text", rf"^{_BLANK}+|{_BLANK}+$", "")
-    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _BLANK + "+"))
+    words = F.regexp_extract_all("text", F.lit(f"{_NOT_BLANK}++"), F.lit(0))  # each character is looked at once
     lines = F.filter(F.split("text", "\n"), lambda line: F.rlike(line, F.lit(_NOT_BLANK)))
     return (
         docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
         .select("*", words.alias("words"), lines.alias("lines"))
         .withColumn("packed", F.expr(_PACKED))
+        .withColumn("likely", F.expr(_LIKELY))
+        .withColumn("hashed", F.expr(_HASHED))
         .withColumn("repeated", F.expr(_REPEATED))
         .select(
             "doc_id", "lang", "source",

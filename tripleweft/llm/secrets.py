@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -62,34 +61,38 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return found + [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
 
 
+def _inside(spans: list[tuple[int, str, int]], start: int, end: int) -> bool:
+    """Whether one of the sorted, separate spans holds a part."""
+    at = bisect_right(spans, start, key=lambda s: s[0])
+    return at > 0 and end <= spans[at - 1][2]
+
+
 def _keys(text: str, endpoints: list[tuple[int, str, int]], access: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """Bare keys and values of key names, none of them an access identifier.
 
     A run of one letter is filler. Paths are runs of letters and slashes too:
     inside an endpoint a key without digits needs a '=' before it.
     """
-
-    def inside(spans: list[tuple[int, str, int]], start: int, end: int) -> bool:
-        at = bisect_right(spans, start, key=lambda s: s[0])
-        return at > 0 and end <= spans[at - 1][2]
-
     found = set()
     for m in KEY.finditer(text):
         plain = not any(map(str.isdigit, m[0]))
         if plain and len(set(m[0]) - set("+/")) < 2:
             continue
-        if plain and text[m.start() - 1 : m.start()] != "=" and inside(endpoints, m.start(), m.end()):
+        if plain and text[m.start() - 1 : m.start()] != "=" and _inside(endpoints, m.start(), m.end()):
             continue
         found.add(m.span())
     found.update(m.span(1) for m in NAMED.finditer(text))
-    return [(start, "key", end) for start, end in sorted(found) if not inside(access, start, end)]
+    return [(start, "key", end) for start, end in sorted(found) if not _inside(access, start, end)]
 
 
 def linked_spans(text: str, base: list[tuple[int, str, int]], reach: int | None) -> list[tuple[int, str, int]]:
     """The weak spans that have a complementary part in their scope and within `reach`, if given.
 
     An endpoint needs an access identifier or a secret; a key needs an access
-    identifier or an endpoint. Scopes are the blocks between blank lines.
+    identifier or an endpoint. A part never vouches for one that it overlaps,
+    and what lies inside an endpoint may be no more than a piece of an address:
+    it vouches for no endpoint, and a key there needs an access identifier.
+    Scopes are the blocks between blank lines.
     """
     reach = len(text) if reach is None else reach
     endpoints = []
@@ -99,26 +102,28 @@ def linked_spans(text: str, base: list[tuple[int, str, int]], reach: int | None)
     if not endpoints and not access:
         return []  # every link has one of the two
     keys = _keys(text, endpoints, access)
-    secrets = [s for s in base if s[1] != "access"] + keys
+    within = [_inside(endpoints, start, end) for start, _, end in keys]
+    outer = [key for key, held in zip(keys, within, strict=True) if not held]
+    inner = [key for key, held in zip(keys, within, strict=True) if held]
+    secrets = [s for s in base if s[1] != "access" and not _inside(endpoints, s[0], s[2])] + outer
     breaks = [m.start() for m in BREAK.finditer(text)]
 
     def joined(weak: list, partners: list) -> list:
-        spans = sorted((s, e) for s, _, e in partners)
-        starts = [s for s, _ in spans]
-        reached = list(accumulate((e for _, e in spans), max))  # spans never cross a break
+        starts, ends = sorted(s for s, _, _ in partners), sorted(e for _, _, e in partners)
         kept = []
         for start, kind, end in weak:
             scope = bisect_left(breaks, start)
-            low = breaks[scope - 1] if scope else -1
+            low = breaks[scope - 1] if scope else -1  # parts never cross a break
             high = breaks[scope] if scope < len(breaks) else len(text)
-            at = bisect_right(starts, start)
-            before = at > 0 and reached[at - 1] > low and start - reached[at - 1] <= reach
+            at = bisect_right(ends, start)
+            before = at > 0 and ends[at - 1] > low and start - ends[at - 1] <= reach
+            at = bisect_left(starts, end)
             after = at < len(starts) and starts[at] < high and starts[at] - end <= reach
             if before or after:
                 kept.append((start, kind, end))
         return kept
 
-    return joined(endpoints, access + secrets) + joined(keys, access + endpoints)
+    return joined(endpoints, access + secrets) + joined(outer, access + endpoints) + joined(inner, access)
 
 
 def _scan(text: str | None, reach: int | None) -> list[dict]:
