@@ -215,8 +215,8 @@ def test_long_runs_of_blanks_take_no_longer(spark):
 
 def rate_rows(spark, groups):
     """Texts that pass the base rule; each of `(lang, source, dup_line_rates, symbol_rates)` is a group."""
-    rows = [(lang, s, False, y, x, 0.01 * (k % 5), 5.0 + 0.01 * (k % 9)) for lang, s, xs, ys in groups for k, (x, y) in enumerate(zip(xs, ys, strict=True))]
-    names = "lang string, source string, base_failed boolean, symbol_rate double, dup_line_rate double, repeat_rate double, mean_chars double"
+    rows = [(lang, s, 300, False, y, x, 0.01 * (k % 5), 5.0 + 0.01 * (k % 9)) for lang, s, xs, ys in groups for k, (x, y) in enumerate(zip(xs, ys, strict=True))]
+    names = "lang string, source string, n_words bigint, base_failed boolean, symbol_rate double, dup_line_rate double, repeat_rate double, mean_chars double"
     return spark.createDataFrame(rows, names)
 
 

@@ -20,15 +20,17 @@ PRIOR_TEXTS = 30  # a group of n texts has the weight n / (n + PRIOR_TEXTS) agai
 SKETCH_K = 800
 # statistic: rank of the tail quantile that fences start from; how many times the
 # distance from the median to it they lie beyond it (normal values: 4.6 standard
-# deviations or more from the median); and the least room, about what one text's
-# counts can tell. Junk shows in symbols and word lengths and may fill a fifth of a
+# deviations or more from the median); and the least room. Of symbols that is so
+# many a text of the group's median length, so it follows the group as well: fewer
+# may stand in any text by chance. Junk shows in symbols and word lengths and may fill a fifth of a
 # source; most texts repeat nothing, so only far ranks tell how much is usual.
 STATISTICS = {
-    "symbol_rate": (0.8, 4.5, 0.01),
+    "symbol_rate": (0.8, 4.5, 3.0),
     "dup_line_rate": (0.99, 1.0, 0.01),
     "repeat_rate": (0.99, 2.0, 0.01),
     "mean_chars": (0.8, 4.5, 0.1),
 }
+LENGTH = "n_words"  # summarised too, for its median
 _NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 # One number per 3-word window, its hash above its position; sorted, equal
@@ -94,7 +96,7 @@ def _rates(stats: DataFrame) -> DataFrame:
 def _sketched(rows: DataFrame, keys: list[str], merge: bool) -> DataFrame:
     """A sketch of each statistic and the number of texts per group of `keys`."""
     make = F.kll_merge_agg_double if merge else F.kll_sketch_agg_double
-    sketches = [make(name, F.lit(SKETCH_K)).alias(name) for name in STATISTICS]
+    sketches = [make(F.col(name).cast("double") if not merge else name, F.lit(SKETCH_K)).alias(name) for name in [*STATISTICS, LENGTH]]
     return rows.groupBy(*keys).agg(*sketches, (F.sum("n") if merge else F.count(F.lit(1))).alias("n"))
 
 
@@ -104,7 +106,7 @@ def _quantiles(table: DataFrame, keys: list[str], prefix: str) -> DataFrame:
 
     found = [
         F.struct(quantile(n, 1 - tail).alias("low"), quantile(n, 0.5).alias("mid"), quantile(n, tail).alias("high")).alias(prefix + n)
-        for n, (tail, _, _) in STATISTICS.items()
+        for n, (tail, _, _) in [*STATISTICS.items(), (LENGTH, (0.8, 0, 0))]
     ]
     return table.select(*[F.col(k).alias(prefix + k) for k in keys], *found, F.col("n").alias(prefix + "n"))
 
@@ -123,7 +125,7 @@ def adaptive_fences(rates: DataFrame) -> DataFrame:
     own = materialize(_sketched(rates.where("NOT base_failed"), ["lang", "source"], merge=False), "sketches")
     by_lang, by_all = _sketched(own, ["lang"], merge=True), _sketched(own, [], merge=True)
     s, g = _quantiles(own, ["lang", "source"], "s_"), _quantiles(by_lang, ["lang"], "g_")
-    of_all = _quantiles(by_all, [], "a_").select(F.struct(*["a_" + name for name in STATISTICS])).scalar()
+    of_all = _quantiles(by_all, [], "a_").select(F.struct(*["a_" + name for name in [*STATISTICS, LENGTH]])).scalar()
     joined = (
         groups.join(s, F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source")), "left")
         .join(g, F.col("lang").eqNullSafe(F.col("g_lang")), "left")
@@ -136,14 +138,18 @@ def adaptive_fences(rates: DataFrame) -> DataFrame:
         mixed = [F.coalesce(weight * own[q] + (1 - weight) * outer[q], outer[q]).alias(q) for q in ("low", "mid", "high")]
         return F.struct(*mixed, F.coalesce(apart, outer["apart"]).alias("apart"))
 
-    def fence(name: str) -> Column:
+    def of_group(name: str) -> Column:
         every = F.col("a")["a_" + name]
         outer = F.struct(*[every[q].alias(q) for q in ("low", "mid", "high")], F.lit(0.0).alias("apart"))
-        q = blended(F.col("s_" + name), F.col("s_n"), blended(F.col("g_" + name), F.col("g_n"), outer))
+        return blended(F.col("s_" + name), F.col("s_n"), blended(F.col("g_" + name), F.col("g_n"), outer))
+
+    def fence(name: str) -> Column:
+        q = of_group(name)
         _, times, least = STATISTICS[name]
+        smallest = least / of_group(LENGTH)["mid"] if name == "symbol_rate" else F.lit(least)
 
         def room(spread: Column) -> Column:
-            return F.greatest(times * (spread + q["apart"]), F.lit(least))
+            return F.greatest(times * (spread + q["apart"]), smallest)
 
         return F.struct(
             (q["low"] - room(q["mid"] - q["low"])).alias("low"), (q["high"] + room(q["high"] - q["mid"])).alias("high")
