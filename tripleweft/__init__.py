@@ -47,7 +47,7 @@ from tripleweft.operators.stats import (
 )
 from tripleweft.plans.bgp import bgp, project, reduced_bgp
 from tripleweft.plans.stores import create_store, open_store
-from tripleweft.plans.workload import pattern_shapes, pattern_table, workload_report, write_workload
+from tripleweft.plans.workload import count_solutions, pattern_shapes, pattern_table, workload_report, write_workload
 from tripleweft.session import configure, materialize
 from tripleweft.sources.ntriples import (
     export_dictionary,

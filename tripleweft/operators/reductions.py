@@ -378,16 +378,10 @@ def _expand(occurrences: DataFrame, properties: DataFrame | None) -> DataFrame:
     """Adds `own, partners`, the tags that make up a name.
 
     An unbound pattern speaks for the property it reads, and is repeated for
-    each of `properties`. That is a join on a number: the properties are dealt
-    to parts, and an occurrence goes to every part, so that neither side meets
-    in one task.
+    each of `properties`.
     """
     if properties is not None:
-        names = properties.select(F.col("p").cast("string").alias("p")).distinct()
-        names = names.withColumn("part", F.pmod(F.xxhash64("p"), F.lit(_EXPANSION_PARTS)))
-        parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_EXPANSION_PARTS - 1).cast("bigint")))
-        unbound = occurrences.where("unbound").drop("p").withColumn("part", parts)
-        expanded = unbound.join(names, "part").drop("part")
+        expanded = for_each_property(occurrences.where("unbound").drop("p"), properties)
         occurrences = occurrences.where("NOT unbound").unionByName(expanded)
 
     def tag(side: str) -> Column:
@@ -402,6 +396,19 @@ def _expand(occurrences: DataFrame, properties: DataFrame | None) -> DataFrame:
     )
 
 
+def for_each_property(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each row of `asked`, patterns that read every property, with each of `rows` (column `p`, as text).
+
+    A join on a number: `rows` are dealt to parts, and what is asked goes to
+    every part, so that neither side meets in one task.
+    """
+    dealt = rows.withColumn("p", F.col("p").cast("string"))
+    dealt = dealt.distinct() if rows.columns == ["p"] else dealt
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.lit(_EXPANSION_PARTS)))
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_EXPANSION_PARTS - 1).cast("bigint")))
+    return asked.withColumn("part", parts).join(dealt, "part").drop("part")
+
+
 def workload_reductions(
     triples: DataFrame | PropertyStore, patterns: DataFrame, recorded: DataFrame | None = None
 ) -> DataFrame:
@@ -425,15 +432,7 @@ def workload_reductions(
     own_rows = _by_column(triples, own_columns, "inner")
     filters = exact_filters(triples)
     if filters is None:
-        survivors = (
-            _mentions(triples, columns)
-            .groupBy("key")
-            .agg(F.collect_set("column").alias("columns"))
-            .withColumn("own", F.explode("columns"))
-            .join(wanted.select("reduction", "own", "partners"), "own")
-            .where(F.size(F.array_except("partners", "columns")) == 0)
-            .select("reduction", F.col("own").alias("column"), "key")
-        )
+        survivors = _survivors(triples, wanted, columns)
         kept = own_rows.where("key IS NOT NULL").join(survivors, ["column", "key"])
     else:
         words = _surviving_words(filters, wanted, columns)
@@ -451,6 +450,57 @@ def workload_reductions(
     )
 
 
+def _survivors(triples: DataFrame | PropertyStore, wanted: DataFrame, columns: DataFrame) -> DataFrame:
+    """`reduction, column, key`: the nodes that all partners of a reduction hold."""
+    return (
+        _mentions(triples, columns)
+        .groupBy("key")
+        .agg(F.collect_set("column").alias("columns"))
+        .withColumn("own", F.explode("columns"))
+        .join(wanted.select("reduction", "own", "partners"), "own")
+        .where(F.size(F.array_except("partners", "columns")) == 0)
+        .select("reduction", F.col("own").alias("column"), "key")
+    )
+
+
+def reduced_counts(triples: DataFrame | PropertyStore, patterns: DataFrame, reads: DataFrame) -> DataFrame:
+    """`query_id, pattern_id, n`: rows that each pattern of a workload reads after reduction.
+
+    `reads` are the properties each pattern reads, `query_id, pattern_id, p` as
+    text. Every triple meets the pairs of reductions asked of its property
+    once and is counted for those whose partners hold its nodes.
+    """
+    table = all_rows(triples)
+    named = _expand(_occurrences(patterns), table.select("p").distinct())
+    wanted, columns = _numbered(named, table.schema["p"].dataType, None)
+    numbers = wanted.select("reduction", "name")
+    named = named.select("query_id", "pattern_id", "p", "col", _name().alias("name")).join(numbers, "name")
+    sides = [F.max(F.when(F.col("col") == c, F.col("reduction"))).alias(f"of_{c}") for c in "so"]
+    asked = reads.join(named.groupBy("query_id", "pattern_id", "p").agg(*sides), ["query_id", "pattern_id", "p"], "left")
+    asked = materialize(asked, "asked")
+    pairs = asked.select(F.col("p").alias("of_p"), "of_s", "of_o").distinct()
+    rows = table.select(F.col("p").cast("string").alias("p"), *[position_key(table, c).alias(f"key_{c}") for c in "so"])
+    found = rows.join(broadcast_if_small(pairs), F.col("p") == F.col("of_p")).drop("of_p")
+    filters = exact_filters(triples)
+    if filters is None:
+        held = _survivors(triples, wanted, columns).select(F.struct("reduction", F.col("key").alias("at")).alias("key"))
+    else:
+        words = _surviving_words(filters, wanted, columns)
+        held = words.select(F.struct("reduction", F.col("bucket").alias("at")).alias("key"), F.col("bits").alias("_bits"))
+    held = materialize(held, "survivors")
+    for c in "so":
+        node = F.col(f"key_{c}")
+        at, residual = (node, None) if filters is None else (exact_bucket(node), holds(F.col("_bits"), exact_mask(node)))
+        # without a reduction, or for a literal, the row passes
+        key = F.when(F.col(f"of_{c}").isNotNull() & node.isNotNull(), F.struct(F.col(f"of_{c}").alias("reduction"), at.alias("at")))
+        found = semi_join_or_null(found, key, held, residual)
+    counted = found.groupBy("p", "of_s", "of_o").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.select(F.struct("p", "of_s", "of_o").alias("pair"), "n")
+    asked = asked.withColumn("pair", F.struct("p", "of_s", "of_o"))
+    total = asked.join(counted, asked["pair"].eqNullSafe(counted["pair"])).groupBy("query_id", "pattern_id")
+    return total.agg(F.sum("n").alias("n"))
+
+
 def _surviving_words(filters: DataFrame, wanted: DataFrame, columns: DataFrame) -> DataFrame:
     """`reduction, column, bucket, bits`: the nodes that all partners of a reduction hold."""
     named = columns.where("p IS NOT NULL").select("column", "p", F.col("side").alias("col"))
