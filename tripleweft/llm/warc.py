@@ -26,6 +26,7 @@ REVISIT_BYTES = 1000  # smaller payloads are always stored
 FILE_BYTES = 128 << 20  # an archive is closed at the next record beyond this size
 RANGE_BYTES = 8 << 20  # most bytes of one coalesced read, but for a larger record
 GAP_BYTES = 64 << 10  # unselected bytes that are read through rather than skipped
+TASK_BYTES = 64 << 20  # archive bytes that a reading task is meant to get
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 INDEX = (
@@ -46,17 +47,19 @@ def plan_records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     rows = pages.select(
         "page_id", "url", "html", F.octet_length(body).cast("bigint").alias("payload_bytes"), F.sha1(body).alias("payload_digest")
     )
-    # only payloads that repeat are joined; the side that is summed per digest has no page
+    # the side that is summed per digest has no page; as in `semi_join`, the hash beside
+    # the keys gives both sides an exchange, so that a payload with many pages is split
     keys = ["payload_digest", "payload_bytes"]
+    rows = rows.withColumn("_hash", F.xxhash64(*keys))
     repeated = (
         rows.where(F.col("payload_bytes") >= least)
         .groupBy(*keys)
         .agg(F.max("page_id").alias("_largest"), F.count(F.lit(1)).alias("_n"))
         .where("_n > 1")
-        .drop("_n")
+        .select(*keys, "_largest", F.xxhash64(*keys).alias("_hash"))
     )
     revisit = F.col("_largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_largest"))
-    return rows.join(repeated, keys, "left").select(
+    return rows.join(repeated, [*keys, "_hash"], "left").select(
         "page_id", "url", "html", *reversed(keys),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("_largest")).alias("refers_to"),
@@ -152,6 +155,8 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
     `page_id, url, payload, payload_bytes, payload_digest, record_type,
     refers_to`. Length and digest of a stored payload are taken from its bytes,
     those of a revisit from the record's heads. `refers_to` is the index's.
+    Stretches of archives are dealt to tasks by the bytes to be read, not by
+    the far smaller index; a record longer than a stretch is read whole.
     """
     prepare(index.sparkSession)
     kind = dict(index.dtypes)["page_id"]
@@ -187,7 +192,10 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
     id_type = index.select("page_id").limit(0).toArrow().schema.field("page_id").type
     schema = pa.schema([("page_id", id_type), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", id_type)])
     fields = f"page_id {kind}, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to {kind}"
-    sorted_index = index.repartition("path").sortWithinPartitions("path", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    n_tasks = max(1, -(-total // TASK_BYTES), min(index.sparkSession.sparkContext.defaultParallelism, total // RANGE_BYTES))
+    stretch = F.floor(F.col("offset") / (TASK_BYTES // 4))
+    sorted_index = index.repartition(n_tasks, "path", stretch).sortWithinPartitions("path", "offset")
     return sorted_index.select("path", "offset", "length", "page_id", "refers_to").mapInArrow(run, fields)
 
 
