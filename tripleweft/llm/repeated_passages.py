@@ -83,16 +83,16 @@ def repeated_anchors(anchors: DataFrame) -> DataFrame:
     """
     width = max(1 << 16, CELLS_PER_ANCHOR * anchors.count())
 
-    def cell(row: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(row), "anchor"), F.lit(width))
+    def cell(row: int) -> Column:  # the rows of the sketch lie one after the other
+        return row * width + F.pmod(F.xxhash64(F.lit(row), "anchor"), F.lit(width))
 
-    rows = [F.struct(F.lit(k).alias("row"), cell(k).alias("cell")) for k in range(SKETCH_ROWS)]
-    sketch = anchors.select(F.inline(F.array(*rows))).groupBy("row", "cell").agg(F.count(F.lit(1)).alias("n"))
-    full = materialize(sketch.where("n > 1").select("row", "cell"), "sketch")
+    cells = F.array(*[cell(row) for row in range(SKETCH_ROWS)])
+    sketch = anchors.select(F.explode(cells).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    full = materialize(sketch.where("n > 1").select("cell"), "sketch")
     found = anchors
-    for k in range(SKETCH_ROWS):  # the estimate is the least over the rows
-        cells = full.where(F.col("row") == k).select("cell")
-        found = found.withColumn("cell", cell(k)).join(cells, "cell", "left_semi").drop("cell")
+    for row in range(SKETCH_ROWS):  # the estimate is the least over the rows
+        own = full.where(F.col("cell").between(row * width, (row + 1) * width - 1))
+        found = found.withColumn("cell", cell(row)).join(own, "cell", "left_semi").drop("cell")
     return found
 
 
@@ -176,8 +176,9 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # an exact copy has no window that the first of its kind has not
     leaders = first.withColumnRenamed("first_id", "doc_id")
     anchors = facts.select(*keys, "doc_id", "anchors").join(leaders, [*keys, "doc_id"], "left_semi")
-    anchors = materialize(anchors.select("doc_id", F.explode("anchors").alias("anchor")).distinct(), "anchors")
-    listed = repeated_anchors(anchors).groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    # rows that repeat a doc_id count twice, which can only raise an estimate
+    anchors = materialize(anchors.select("doc_id", F.explode("anchors").alias("anchor")), "anchors")
+    listed = repeated_anchors(anchors).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     listed = materialize(listed, "listed")
     # where the ids are few enough to broadcast, only candidates' texts are shuffled
     few = broadcast_if_small(listed.select("doc_id"), BROADCAST_IDS)
@@ -186,7 +187,8 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     found = _candidate_windows(texts)
     groups = found.groupBy("a", "b").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    groups = groups.where("first_id < last_id").drop("last_id")
+    # written, so that the join below has an exchange on both sides and a hot window is split
+    groups = materialize(groups.where("first_id < last_id").drop("last_id"), "repeated")
     late = found.join(groups, ["a", "b"]).where("doc_id > first_id")
     starts = late.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
     return profile, _cut(texts.join(starts, "doc_id"))
