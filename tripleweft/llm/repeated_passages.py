@@ -169,7 +169,9 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     facts = materialize(profile_texts(docs), "profile")
     keys = ["seq_a", "seq_b"]
     first = facts.where(F.col("n_words") >= WINDOW).groupBy(*keys).agg(F.min("doc_id").alias("first_id"))
-    profile = facts.drop("anchors").join(first, keys, "left").select(
+    # the hash beside the keys gives both sides an exchange, so that a text of many copies is split
+    spread = F.xxhash64(*keys).alias("_hash")
+    profile = facts.select("*", spread).join(first.select("*", spread), [*keys, "_hash"], "left").select(
         "doc_id", "n_words", "all_sha256", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)).alias("copied")
     )
 
