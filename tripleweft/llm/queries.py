@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripleweft.llm import divergence, hard_negatives
+from tripleweft.llm import divergence, hard_negatives, oracles
 from tripleweft.llm.bpe import bpe_report
 from tripleweft.llm.contamination import find_contamination
 from tripleweft.llm.licenses import license_report
@@ -40,4 +40,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_source_divergence": _over(divergence.divergence_report, "documents"),
     "op13_hard_negatives": _over(hard_negatives.hard_negatives, "embeddings"),
 }
-ORACLES: dict[str, str] = {"op12_source_divergence": divergence.SQL, "op13_hard_negatives": hard_negatives.SQL}
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op4_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op6_warc": oracles.WARC,
+    "op10_decontamination": oracles.CONTAMINATION,
+    "op12_source_divergence": divergence.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
+}
