@@ -391,3 +391,18 @@ def test_stages_against_plain_versions(spark):
         docs = out
     assert kept["mixing"] == kept["secrets"]
     assert hashlib.sha256(b"").hexdigest() == brute.secrets(None)[3]
+
+
+def test_stages_on_untidy_and_empty_tables(spark, untidy):
+    import corpus_pipeline
+
+    for docs in (untidy, untidy.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = near_duplicates.materialize(stage(spark, docs, SF_DIR), name)
+            n, before = out.count(), docs.count()
+            assert n >= before if name in ("secrets", "mixing") else n <= before
+            if name != "mixing":
+                assert out.columns == docs.columns
+            if name == "near_dedup":
+                blank = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) == 0
+                assert out.where(blank).count() == docs.where(blank).count()
