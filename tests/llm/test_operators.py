@@ -161,11 +161,43 @@ def test_contamination(spark, docs, rows):
     assert ids - {None} == {k for k, _ in rows} - {k for k, _ in want}
 
 
-def test_items_in_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(contamination, "ITEM_BLOCK", 15)
-    docs, items = (spark.read.parquet(f"{SF_DIR}/{n}.parquet") for n in ("documents", "benchmark"))
-    want = brute.contained(*[[tuple(r) for r in t.select(t.columns[0], "text").collect()] for t in (docs, items)])
-    assert {(r["doc_id"], r["item_id"]) for r in contamination.find_contamination(docs, items).collect()} == want
+def test_more_items_than_are_broadcast_are_joined(spark, docs, rows, monkeypatch):
+    items = spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
+    long = [(905, prose(4, 9000)), (906, prose(4, 9000)), (907, "x x x x x"), (908, prose(2, 7)), (None, prose(2, 30))]
+    own = spark.createDataFrame([(900, prose(1, 200).upper()), (901, None), (902, ""), (903, "one two three four"), (904, prose(2, 60)), *long], items.schema)
+    items = items.unionByName(own).withColumn("value", F.lit(1))
+    columns = ["doc_id", "item_id", "n_shared", "containment"]
+
+    def both():
+        found = contamination.find_contamination(docs, items)
+        left = contamination.drop_contaminated(docs, items)
+        assert found.columns == columns and left.columns == docs.columns
+        return sorted(map(tuple, found.collect()), key=repr), sorted(map(tuple, left.collect()), key=repr)
+
+    streamed = both()
+    monkeypatch.setattr(contamination, "BROADCAST_ITEMS", 3)
+    assert both() == streamed
+    want = brute.contained(rows, [tuple(r) for r in items.select("item_id", "text").collect()])
+    assert {r[:2] for r in streamed[0] if r[0] is not None} == want
+    none = docs.where("false")
+    assert contamination.find_contamination(none, items).count() == 0 == contamination.drop_contaminated(none, items).count()
+
+
+def test_documents_are_read_once_however_many_the_items(spark, monkeypatch, tmp_path):
+    spark.read.parquet(f"{SF_DIR}/documents.parquet").write.parquet(str(tmp_path / "docs"))
+    docs, items = spark.read.parquet(str(tmp_path / "docs")), spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
+    monkeypatch.setattr(contamination, "BROADCAST_BYTES", 1)
+    calls = []
+    monkeypatch.setattr(contamination, "_document_keys", lambda *a, real=contamination._document_keys: calls.append(a) or real(*a))
+    plan = contamination.find_contamination(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert len(calls) == 1 and str(tmp_path) not in plan
+
+
+def test_a_small_item_is_found_by_any_of_its_minima(spark):
+    words = [f"t{k}" for k in range(30_000)]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(k, " ".join(words[k : k + 5])) for k in range(0, 29_990, 3)], "item_id bigint, text string")
+    assert contamination.find_contamination(docs, items).count() == items.count()
 
 
 def test_licenses(docs, rows):
