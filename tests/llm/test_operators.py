@@ -6,6 +6,8 @@ import time
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_DIR
@@ -221,6 +223,73 @@ def test_license_statements_may_wrap(spark):
     assert licenses.detect("huggingface.co/spaces/x\nlicense") == [] == licenses.detect("apache\n\nmozilla")
 
 
+LICENSE_TEXTS = {
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal", "The above copyright notice and this permission notice shall be included in\nall copies or substantial portions of the Software."],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."],
+    "0bsd": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "bsd": ["1. Redistributions of source code must retain the above copyright\n   notice, this list", "2. Redistributions in binary form must reproduce the above copyright notice,"],
+    "bsd-3-clause": ["Neither the name of the copyright holder nor the names of its\n contributors may be used to endorse or promote products derived"],
+    "bsd-4-clause": ["All advertising materials mentioning features or use of this software\nmust display the following acknowledgement"],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use", "software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either"],
+    "gpl-2.0-or-later": ["it under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."],
+    "gpl-3.0-or-later": ["the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."],
+    "lgpl-2.1-or-later": ["GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."],
+    "gpl": ["This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as", "You should have received a copy of the GNU General Public License\nalong with this program."],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this"],
+    "zlib": ["Altered source versions must be plainly marked as such", "This software is provided 'as-is', without any express or implied\nwarranty."],
+    "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "cc0-1.0": ["To the extent possible under law, Ann Example has waived all copyright and related or neighboring rights to"],
+    "proprietary": ["This book may not be reproduced in any form without the prior written permission of the publisher", "PROPRIETARY AND CONFIDENTIAL"],
+}
+
+
+def test_license_texts_and_notices():
+    marks = ("{}", "# {}", "// {}", " * {}", ";; {}")
+    for label, texts in LICENSE_TEXTS.items():
+        for text in texts:
+            for mark in marks:
+                shown = "\n".join(mark.format(line) for line in text.split("\n")).lower()
+                assert label in [r.label for _, _, r in licenses.detect(shown)], (label, shown)
+    found = [r.label for _, _, r in licenses.detect("redistribution is free. we permit any person to obtain copies of the software, without fee")]
+    assert found == []
+
+
+def plain_detections(line: str) -> set:
+    """Every rule on the whole text, without keywords; suppression by comparing all pairs."""
+    found = [(m.start(), m.end(), r) for r in license_rules.build_rules() for m in r.pattern.finditer(line)]
+
+    def order(d):
+        return (d[0], -d[1], d[2].priority, d[2].label)
+
+    def covered(d):
+        return any(e[0] <= d[0] and d[1] <= e[1] and e[2].priority <= d[2].priority and order(e) < order(d) for e in found)
+
+    return {(a, b, r.label) for a, b, r in found if not covered((a, b, r))}
+
+
+def test_detections_against_a_plain_version(rows):
+    statements = [t for texts in LICENSE_TEXTS.values() for t in texts]
+    statements += ["SPDX-License-Identifier: MIT", "see https://www.apache.org/licenses/LICENSE-2.0.html", "distributed under the terms of the GPL v3", "CC-BY-SA 4.0", "© 2020 x, all rights reserved"]
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice([prose(k, 4), *draw.sample(statements, 3)]) for _ in range(12)) for k in range(40)]
+    texts += [t for _, t in rows if t and len(t) < 20_000][:120]
+    seen = set()
+    for text in texts:
+        line = licenses.GAP.sub(" ", brute.lower(text))
+        want = plain_detections(line)
+        assert sorted((a, b, r.label) for a, b, r in licenses.detect(line)) == sorted(want)
+        seen |= {label for _, _, label in want}
+    assert len(seen) > 15
+
+
+@settings(max_examples=600, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.sampled_from(license_rules.build_rules()).flatmap(lambda r: st.tuples(st.just(r), st.from_regex(r.pattern))))
+def test_a_rule_never_matches_without_its_keywords(drawn):
+    rule, text = drawn
+    match = rule.pattern.search(text)
+    assert match is None or any(word in match[0] for word in rule.keywords)
+
+
 def test_overlapping_detections_are_suppressed():
     rules = license_rules.build_rules()
     assert len(rules) > 200 and [r.priority for r in rules] == sorted(r.priority for r in rules)

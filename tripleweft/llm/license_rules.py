@@ -1,8 +1,10 @@
 """The signature rules of the license scan: hand-written names, links and phrasings.
 
 Each license has an identifier, patterns for its name, and the links that
-quote it. Five ways in which texts refer to a license turn these into rules;
-a rule's priority is its way's: the lower, the more exact.
+quote it. Four ways in which texts refer to a license turn these into rules.
+Further rules are signatures of what licenses and notices say themselves, and
+general statements about rights. A rule's priority is its way's: the lower,
+the more exact.
 """
 
 from __future__ import annotations
@@ -92,6 +94,114 @@ grant | 3 | 0.9 | (?:licen[cs]ed|released|distributed|available|published) under
 name | 4 | 0.7 | (?<![0-9a-z\x80-\U0010ffff])NAME(?![0-9a-z\x80-\U0010ffff])
 """
 
+_TEXT_PRIORITY = 3
+
+# Signatures of license texts and notices, whose sentences rules see with single spaces:
+# label | confidence | pattern | keyword
+_TEXTS = r"""
+mit | 0.9 | permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files | hereby granted
+mit | 0.8 | the above copyright notice and this permission notice (?:\(including the next paragraph\) )?shall be included in all copies or substantial portions of the software | permission notice
+mit | 0.6 | the software is provided ["“']?as is["”']?, without warranty of any kind, express or implied | without warranty of any kind
+x11 | 0.8 | except as contained in this notice, the names? of [^.]{1,100}? shall not be used in advertising | contained in this notice
+bsl-1.0 | 0.9 | permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation | hereby granted
+unicode-dfs | 0.9 | permission is hereby granted, free of charge, to any person obtaining a copy of the unicode data files | hereby granted
+json | 0.9 | the software shall be used for good, not evil | good, not evil
+isc | 0.9 | permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies | hereby granted
+0bsd | 0.85 | permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted\. | hereby granted
+isc | 0.6 | the author disclaims all warranties with regard to this software | disclaims all warranties
+hpnd | 0.8 | permission to use, copy, modify,? and distribute this software and its documentation for any purpose (?:and )?(?:with or )?without fee is hereby granted | hereby granted
+postgresql | 0.9 | permission to use, copy, modify,? and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted | hereby granted
+bsd | 0.7 | redistributions? of source code must retain the (?:above )?copyright notice | redistribution
+bsd | 0.7 | redistributions? in binary form must reproduce the (?:above )?copyright notice | redistribution
+bsd-3-clause | 0.9 | neither the names? of [^.]{1,120}? nor the names of (?:its|the|their) contributors may be used to endorse or promote products | endorse or promote
+bsd-3-clause | 0.8 | the names? of [^.]{1,80}? may not be used to endorse or promote products derived from this software | endorse or promote
+bsd-4-clause | 0.9 | all advertising materials mentioning features or use of this software must display | advertising materials
+bsd | 0.6 | this software is provided by [^.]{1,100}? ["“'`]{0,2}as is["”']{0,2} and any express or implied warranties | express or implied
+bsd-2-clause | 0.8 | the views and conclusions contained in the software and documentation are those of the authors | views and conclusions
+bsd-3-clause-clear | 0.9 | no express or implied licenses to any party's patent rights are granted | patent rights
+apache-2.0 | 0.95 | licensed under the apache licen[cs]e, version 2\.0 \(the ["“]licen[cs]e["”]\) | apache
+apache-2.0 | 0.9 | software distributed under the licen[cs]e is distributed on an ["“]as is["”] basis, without warranties or conditions of any kind | without warranties or conditions
+apache-2.0 | 0.8 | terms and conditions for use, reproduction, and distribution | terms and conditions for use
+apache-2.0 | 0.9 | each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable | each contributor hereby grants
+apache-1.1 | 0.8 | this product includes software developed by the apache software foundation | apache
+apache-1.0 | 0.8 | this product includes software developed by the apache group | apache
+openssl | 0.9 | this product includes software developed by the openssl project | openssl
+ssleay | 0.9 | this product includes cryptographic software written by eric young | eric young
+gpl | 0.85 | this (?:program|file|software|package) is free software[;:,] you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e | free software
+lgpl | 0.85 | this (?:library|program|file|software) is free software[;:,] you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e | free software
+agpl | 0.85 | this (?:program|file|software) is free software[;:,] you can redistribute it and/or modify it under the terms of the gnu affero general public licen[cs]e | free software
+gpl-1.0-or-later | 0.9 | gnu general public licen[cs]e as published by the free software foundation[;,] either version 1(?: of the licen[cs]e)?,? or \(at your option\) any later version | general public
+gpl-2.0-or-later | 0.95 | gnu general public licen[cs]e as published by the free software foundation[;,] either version 2(?: of the licen[cs]e)?,? or \(at your option\) any later version | general public
+gpl-3.0-or-later | 0.95 | gnu general public licen[cs]e as published by the free software foundation[;,] either version 3(?: of the licen[cs]e)?,? or \(at your option\) any later version | general public
+lgpl-2.0-or-later | 0.95 | gnu library general public licen[cs]e as published by the free software foundation[;,] either version 2(?: of the licen[cs]e)?,? or \(at your option\) any later version | general public
+lgpl-2.1-or-later | 0.95 | gnu lesser general public licen[cs]e as published by the free software foundation[;,] either version 2\.1(?: of the licen[cs]e)?,? or \(at your option\) any later version | general public
+lgpl-3.0-or-later | 0.95 | gnu lesser general public licen[cs]e as published by the free software foundation[;,] either version 3(?: of the licen[cs]e)?,? or \(at your option\) any later version | general public
+agpl-3.0-or-later | 0.95 | gnu affero general public licen[cs]e as published by the free software foundation[;,] either version 3(?: of the licen[cs]e)?,? or \(at your option\) any later version | affero
+gpl-2.0-only | 0.85 | gnu general public licen[cs]e,? version 2,? as published by the free software foundation | general public
+gpl-3.0-only | 0.85 | gnu general public licen[cs]e,? version 3,? as published by the free software foundation | general public
+gpl-2.0 | 0.8 | version 2 of the gnu general public licen[cs]e | general public
+gpl-3.0 | 0.8 | version 3 of the gnu general public licen[cs]e | general public
+gpl | 0.7 | you should have received a copy of the gnu general public licen[cs]e along with | general public
+lgpl | 0.7 | you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e along with | general public
+agpl | 0.7 | you should have received a copy of the gnu affero general public licen[cs]e along with | affero
+gpl-2.0 | 0.95 | gnu general public licen[cs]e version 2, june 1991 | general public
+gpl-3.0 | 0.95 | gnu general public licen[cs]e version 3, 29 june 2007 | general public
+lgpl-2.1 | 0.95 | gnu lesser general public licen[cs]e version 2\.1, february 1999 | general public
+lgpl-3.0 | 0.95 | gnu lesser general public licen[cs]e version 3, 29 june 2007 | general public
+agpl-3.0 | 0.95 | gnu affero general public licen[cs]e version 3, 19 november 2007 | affero
+gpl | 0.8 | the licenses for most software are designed to take away your freedom to share and change it | your freedom to share
+gpl-3.0 | 0.9 | the gnu general public licen[cs]e is a free, copyleft licen[cs]e for software and other kinds of works | general public
+agpl-3.0 | 0.9 | remote network interaction; use with the gnu general public licen[cs]e | remote network interaction
+gfdl | 0.9 | permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation licen[cs]e | free documentation
+gnu-text | 0.6 | everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document | verbatim copies
+classpath-exception | 0.85 | as a special exception, the copyright holders of this library give you permission to link this library | special exception
+bison-exception | 0.85 | as a special exception, you may create a larger work that contains part or all of the bison parser skeleton | special exception
+gcc-exception | 0.8 | gcc runtime library exception | runtime library exception
+mpl-2.0 | 0.95 | this source code form is subject to the terms of the mozilla public licen[cs]e, v\. ?2\.0 | mozilla
+mpl-2.0 | 0.8 | if a copy of the mpl was not distributed with this file | copy of the mpl
+mpl-2.0-no-copyleft-exception | 0.8 | this source code form is ["“]incompatible with secondary licenses["”] | secondary licenses
+mpl-1.1 | 0.95 | the contents of this file are subject to the mozilla public licen[cs]e,? version 1\.1 | mozilla
+mpl-1.0 | 0.95 | the contents of this file are subject to the mozilla public licen[cs]e,? version 1\.0 | mozilla
+epl-1.0 | 0.95 | this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e v ?1\.0 | eclipse
+epl-2.0 | 0.95 | this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e (?:v ?)?2\.0 | eclipse
+epl | 0.8 | the accompanying program is provided under the terms of this eclipse public licen[cs]e | eclipse
+cpl-1.0 | 0.9 | the accompanying program is provided under the terms of this common public licen[cs]e | common public
+cddl | 0.9 | the contents of this file are subject to the terms of the common development and distribution licen[cs]e | common development
+zlib | 0.8 | this software is provided ["“'‘]as-is["”'’], without any express or implied warranty | express or implied
+zlib | 0.85 | altered source versions must be plainly marked as such | plainly marked
+zlib | 0.85 | the origin of this software must not be misrepresented | must not be misrepresented
+unlicense | 0.95 | this is free and unencumbered software released into the public domain | unencumbered software
+unlicense | 0.85 | anyone is free to copy, modify, publish, use, compile, sell, or distribute this software | anyone is free to copy
+wtfpl | 0.9 | you just do what the f\S{0,6} you want to | just do what the
+beerware | 0.9 | as long as you retain this notice you can do whatever you want with this stuff | retain this notice
+artistic-1.0 | 0.85 | the intent of this document is to state the conditions under which a package may be copied | intent of this document
+artistic-2.0 | 0.85 | this licen[cs]e establishes the terms under which a given free software package may be copied | free software package
+perl | 0.85 | this (?:library|program|module) is free software[;,] you (?:can|may) redistribute it and/or modify it under the same terms as perl itself | as perl itself
+ofl-1.1 | 0.9 | this font software is licensed under the sil open font licen[cs]e | open font
+ofl-1.1 | 0.85 | the font software may be sold as part of a larger software package but may not be sold by itself | font software
+python-2.0 | 0.9 | this licen[cs]e agreement is between the python software foundation | python software
+ijg | 0.8 | this software is based in part on the work of the independent jpeg group | independent jpeg
+freetype | 0.8 | portions of this software are copyright [^.]{0,60}? the freetype project | freetype
+cc0-1.0 | 0.9 | the person who associated a work with this deed has dedicated the work to the public domain | associated a work with this deed
+cc0-1.0 | 0.9 | to the extent possible under law, [^.]{1,120}? (?:has|have) waived all copyright and related or neighbou?ring rights | waived all copyright
+cc-by | 0.8 | you must give appropriate credit, provide a link to the licen[cs]e, and indicate if changes were made | appropriate credit
+cc-by-sa | 0.8 | if you remix, transform, or build upon the material, you must distribute your contributions under the same licen[cs]e | build upon the material
+cc-by-nd | 0.8 | if you remix, transform, or build upon the material, you may not distribute the modified material | build upon the material
+cc-by-nc | 0.8 | you may not use the material for commercial purposes | use the material
+sspl-1.0 | 0.9 | if you make the functionality of the program or a modified version available to third parties as a service | third parties as a service
+busl-1.1 | 0.9 | the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use of the licensed work | non-production use
+elastic-2.0 | 0.9 | you may not provide the software to third parties as a hosted or managed service | hosted or managed service
+commons-clause | 0.9 | the grant of rights under the licen[cs]e will not include, and the licen[cs]e does not grant to you, the right to sell the software | right to sell the software
+ms-pl | 0.8 | if you bring a patent claim against any contributor over patents that you claim are infringed by the software | patent claim
+proprietary | 0.8 | unauthorized copying of this file,? via any medium,? is strictly prohibited | unauthorized copying
+proprietary | 0.7 | (?:confidential and proprietary|proprietary and confidential)(?: information| property)?(?: of)? | confidential
+proprietary | 0.7 | may not be (?:reproduced|copied|distributed|republished|used)[^.]{0,80}? without (?:the )?(?:prior |express |explicit )*written (?:permission|consent) | written
+no-training | 0.8 | may not be used (?:to train|for (?:the )?training(?: of)?|in the training of) (?:any )?(?:ai|artificial intelligence|machine learning|language) | may not be used
+noncommercial | 0.7 | for (?:personal,? |private,? |academic,? |educational,? |and )*non-?commercial (?:use|purposes?) only | commercial
+research-only | 0.7 | for (?:academic |scientific |research |educational |and )+(?:use|purposes?) only | only
+us-government | 0.7 | (?:this|a|is a) work of the (?:u\.s\.|united states) government | government
+"""
+
 # Rules of any license: label | priority | confidence | pattern | keyword
 _GENERAL = r"""
 reserved | 5 | 0.6 | all rights reserved | rights
@@ -127,6 +237,8 @@ def build_rules() -> list[Rule]:
             filled = pattern.replace("NAME", name).replace("LINK", link).replace("ID", re.escape(label) + "(?![0-9a-z.-]*[0-9a-z])")
             gate = ("spdx-license-identifier",) if way == "tag" else words
             rules.append(Rule(label, int(priority), float(confidence), re.compile(filled), gate))
+    for label, confidence, pattern, keyword in _rows(_TEXTS):
+        rules.append(Rule(label, _TEXT_PRIORITY, float(confidence), re.compile(pattern), (keyword,)))
     for label, priority, confidence, pattern, keyword in _rows(_GENERAL):
         rules.append(Rule(label, int(priority), float(confidence), re.compile(pattern), (keyword,)))
     return sorted(rules, key=lambda rule: (rule.priority, rule.label))
