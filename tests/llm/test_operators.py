@@ -398,6 +398,25 @@ def test_scores_need_only_the_text(spark, untidy):
     assert kept.columns == untidy.columns and kept.count() == scored.where("score >= 0.7").count()
 
 
+def test_fitted_on_every_passage_within_its_bounds(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(passages.AttentionModel, "fit", classmethod(lambda cls, bags, labels: fitted.append((bags, labels.tolist()))))
+    texts = [(k, prose(k, 64 * (k + 1))) for k in range(12)]
+    texts += [(0, texts[0][1])] * 500 + [(1, "another text"), (2, None)]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in texts], "doc_id bigint, text string, content int").repartition(5)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id bigint, quality int")
+    held = {r[0] for r in labels.where(passages._fold(F.col("doc_id")) == 2).collect()}
+    want = sorted(max(1, -(-len(brute.words(t)) // 64)) for k, t in set(texts) if k not in held)
+    passages.train_quality(docs, labels)
+    assert sorted(len(bag) for bag in fitted[0][0]) == want
+    passages.train_quality(docs.repartition(3, "text"), labels)
+    assert all((x == y).all() for x, y in zip(fitted[0][0], fitted[1][0], strict=True)) and fitted[0][1] == fitted[1][1]
+    passages.train_quality(docs, labels, max_docs=4)
+    passages.train_quality(docs, labels, max_passages=20)
+    sizes = [[len(bag) for bag in bags] for bags, _ in fitted[2:]]
+    assert len(sizes[0]) == 4 and 0 < sum(sizes[1]) <= 20
+
+
 def test_gradients():
     rng = np.random.default_rng(3)
     bags = [rng.normal(size=(n, passages.N_FEATURES)) for n in (1, 3, 2)]

@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleweft.llm.arrays import U64, Words, mix, slices
-from tripleweft.llm.runtime import prepare
+from tripleweft.llm.runtime import materialize, prepare
 
 PASSAGE_WORDS = 64
 SAMPLE_DOCS = 4000  # labelled documents the classifier is fitted on, at most
-SAMPLE_PASSAGES = 64  # evenly spread passages of one of them, at most
+SAMPLE_PASSAGES = 200_000  # passages of all of them together, at most: 41 MB of features
 THRESHOLD = 0.7
 _BUCKETS, _HIDDEN, _GATE = 32, 24, 12
 _SYMBOLS = np.zeros(256, np.float32)
@@ -156,16 +156,18 @@ def _fold(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4))
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = SAMPLE_DOCS) -> AttentionModel:
-    """A model fitted on labelled documents outside the held-out fold.
+def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = SAMPLE_DOCS, max_passages: int = SAMPLE_PASSAGES) -> AttentionModel:
+    """A model fitted on every passage of labelled documents outside the held-out fold.
 
     The fold is `crc32(doc_id) mod 4 = 2`. Of the others, the `max_docs` with
-    the smallest hash of doc_id are used, each with at most 64 evenly spread
-    passages; this bound is what reaches the driver. A document with several
-    labels has their mean, rounded; null labels and ids are skipped; without
-    any label every score is about one half.
+    the smallest hash of doc_id are used, in that order, but for those with
+    which the passages would exceed `max_passages`; the two bounds are what
+    reaches the driver. A document with several labels has their mean, rounded;
+    rows that repeat a doc_id with other passages count as documents of their
+    own, others once; null texts are empty ones; null labels and ids are
+    skipped; without any label every score is about one half.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (_fold(F.col("doc_id")) != 2))
     sample = (
         known.groupBy("doc_id")
@@ -178,15 +180,25 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = SAMPLE_DOC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             first, x = encode_passages(part.column("text"))
-            picked = [x[a:b][np.unique(np.linspace(0, b - a - 1, min(b - a, SAMPLE_PASSAGES)).astype(int))].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            passages = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.string()), part.column("quality"), pa.array(picked, pa.binary())], ["doc_id", "quality", "passages"]
+                [part.column("doc_id").cast(pa.string()), part.column("quality"), pa.array(np.diff(first)), pa.array(passages, pa.large_binary())],
+                ["doc_id", "quality", "n", "passages"],
             )
 
-    # at most max_docs rows, so the broadcast and what returns are bounded
+    # at most max_docs rows, so the broadcast is bounded
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")
-    rows = found.mapInArrow(run, "doc_id string, quality int, passages binary").limit(2 * max_docs).collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["passages"])))
+    found = found.mapInArrow(run, "doc_id string, quality int, n bigint, passages binary").withColumn("content", F.xxhash64("passages"))
+    found = materialize(found, "passages")
+    order = [F.xxhash64("doc_id"), "doc_id", "content"]
+    total, picked = 0, []
+    for r in found.select("doc_id", "content", "n").distinct().orderBy(*order).limit(max_docs).collect():
+        if total + r["n"] <= max_passages:
+            total += r["n"]
+            picked.append((r["doc_id"], r["content"]))
+    chosen = F.broadcast(spark.createDataFrame(picked, "doc_id string, content bigint"))
+    rows = found.join(chosen, ["doc_id", "content"]).dropDuplicates(["doc_id", "content"]).collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["content"]))
     bags = [np.frombuffer(r["passages"], np.float32).reshape(-1, N_FEATURES) for r in rows]
     return AttentionModel.fit(bags, np.array([r["quality"] for r in rows], float))
 
