@@ -5,6 +5,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF_DIR
 from tests.llm import brute
 from tripleweft.llm import contamination, license_rules, licenses, mixing, near_duplicates, passages, quality_rules
-from tripleweft.llm import repeated_passages, secrets, token_files, warc
+from tripleweft.llm import repeated_passages, runtime, secrets, token_files, warc
 
 EXTRA = "bands, node, a, b, spans, n_words, component, score, kept, anchors, at, item, block"
 
@@ -65,6 +66,16 @@ def by_id(df, *columns):
     return out
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    docs = runtime.prepare(spark).range(0, 600, 1, 1).select(F.repeat(F.lit("x"), F.lit(400_000)).alias("text"))
+    rows = [r["n"] for r in docs.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(rows) == 600 and max(rows) * 400_000 <= 2 * runtime.BATCH_BYTES
+
+
 def test_substring_dedup(docs, rows):
     report = repeated_passages.repeat_report(docs)
     assert by_id(report, "n_words", "n_removed", "kept_sha256") == brute.substring_dedup(rows)

@@ -13,7 +13,8 @@ from tripleweft.session import configure, materialize, scratch_path
 
 __all__ = ["prepare", "materialize", "scratch_path", "open_store", "read_table"]
 
-BATCH_ROWS = 512  # rows handed to Python at once; texts differ in length by far
+# rows and bytes handed to Python at once; texts differ in length by far, and one longer than that comes alone
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 
 _shipped: set[str] = set()
 
@@ -21,11 +22,13 @@ _shipped: set[str] = set()
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the run-time options and give the workers this package's code.
 
+    Arrow batches are bounded by rows and bytes, for all later work of the session.
     A session whose workers cannot import the package gets it as a zip by
     `addPyFile`, once per application.
     """
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         package = Path(__file__).resolve().parents[1]
