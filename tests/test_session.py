@@ -55,3 +55,19 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch_dir(Session)
+
+
+def test_splits_and_joins_follow_the_input(spark):
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+            "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"]
+    before = spark.conf.get(keys[0])
+    try:
+        tw.configure(spark, 6 << 30)  # 600 million triples: some 400,000 a partition
+        assert [int(spark.conf.get(key)) for key in keys] == [1536, 64 << 20, 16 << 20, 64 << 20]
+        spark.conf.set(keys[0], before)
+        tw.configure(spark, 100 << 40)
+        assert int(spark.conf.get(keys[0])) == 102_400 and int(spark.conf.get(keys[2])) == 128 << 20
+    finally:
+        spark.conf.set(keys[0], before)
+        for key in keys[1:]:
+            spark.conf.unset(key)
