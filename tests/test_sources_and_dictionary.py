@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import tripleweft as tw
 from tests.conftest import R, SAMPLE, bag, iri, sample_lines
+from tripleweft.functions.terms import as_id
 from tripleweft.session import materialize, scratch_dir
 
 
@@ -198,3 +199,28 @@ def test_half_written_slot_of_another_workload(spark, tmp_path):
     spark.createDataFrame(rows, catalog.schema).write.mode("overwrite").parquet(f"{path}/catalog")  # as if that run had died
     tw.write_reductions(spark.createDataFrame([("other", "c", "q", "d")], schema), path)
     assert {r["name"] for r in tw.read_catalog(spark, path).collect()} == {"whole", "other"}
+
+
+def test_only_digits_are_cast_to_ids(spark):
+    texts = ['"F"', "12", "x12", " 12", "9" * 30, None]
+    df = spark.createDataFrame([(text, 7) for text in texts], "t STRING, n INT")
+    assert [row[0] for row in df.select(as_id(df, "t")).collect()] == [None, 12, None, None, None, None]
+    assert {row[0] for row in df.select(as_id(df, "n")).collect()} == {7}
+
+
+def test_variables_of_few_terms_are_decoded_by_broadcasts(spark, monkeypatch):
+    dictionary = spark.range(1, 401).select("id", F.concat(F.lit("t"), "id").alias("term"))
+    bindings = spark.range(1, 391).select(
+        F.col("id").alias("a"), F.when(F.col("id") % 3 == 0, F.lit('"x"')).otherwise(F.lit("1")).alias("b"))
+    monkeypatch.setattr("tripleweft.operators.dictionary.BROADCAST_ROWS", 20)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        decoded = tw.decode_bindings(bindings, dictionary)
+        plan = decoded._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") == 1
+        assert bag(decoded) == bag(spark.createDataFrame(
+            [(f"t{i}", '"x"' if i % 3 == 0 else "t1") for i in range(1, 391)], "a STRING, b STRING"))
+    finally:
+        spark.conf.set(key, before)
