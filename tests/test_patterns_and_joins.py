@@ -6,6 +6,7 @@ import pytest
 
 import tripleweft as tw
 from tests.conftest import bag
+from tripleweft.operators import joins
 
 SCHEMA = "s STRING, p STRING, o STRING"
 # Few terms in all positions, a literal, a duplicate: every shape has matches.
@@ -155,3 +156,23 @@ def test_joins_on_encoded_literals_and_ids(spark):
     assert bag(tw.decode_bindings(found, dictionary, ["a", "x", "n"]).select("a", "x", "n")) == [("a", "b", "c")]
     other = tw.join_unbound_property(enc, ("?x", "?y", "?n"), tw.match_pattern(enc, left))
     assert bag(tw.decode_bindings(other, dictionary).select("x", "y", "n")) == [("b", "q", "c")]
+
+
+@pytest.mark.parametrize("flipped", [False, True])
+def test_a_product_sends_its_small_side_to_the_other_one(spark, flipped):
+    """Whatever Spark thinks of the sizes: it would read one side once per task of the other."""
+    few, many = spark.range(3).toDF("a"), spark.range(200).toDF("b")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before, kept = spark.conf.get(key), joins.is_small
+    spark.conf.set(key, "-1")
+    try:
+        joins.is_small = lambda df: kept(df, 10)
+        both = tw.join_bindings(*((few, many) if flipped else (many, few)), allow_product=True)
+    finally:
+        joins.is_small = kept
+    try:
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastNestedLoopJoin" in plan and "CartesianProduct" not in plan
+        assert bag(both.select("a", "b")) == bag(few.crossJoin(many))
+    finally:
+        spark.conf.set(key, before)
