@@ -58,6 +58,24 @@ def test_workload_reductions_by_hand(spark, raw):
     assert rows == sorted(((n, *t) for n, ts in expected.items() for t in ts), key=repr)
 
 
+@pytest.mark.parametrize("max_words", [0, 16])
+def test_reductions_over_more_columns_than_a_word_has_bits(spark, monkeypatch, max_words):
+    """The columns of a node as bits of several words, or as lists, without lists over the triples."""
+    monkeypatch.setattr("tripleweft.operators.reductions.MAX_WORDS", max_words)
+    n = 70
+    rows = [(f"n{(i * k) % 9}", f"p{i}", f"n{(i + k) % 9}") for i in range(n) for k in range(4)]
+    queries = {f"q{i}": [("?x", f"p{i}", "?y"), ("?y", f"p{(i + 1) % n}", "?z")] for i in range(n)}
+    found = tw.workload_reductions(spark.createDataFrame(rows, "s STRING, p STRING, o STRING"), tw.pattern_table(spark, queries))
+    assert ("ObjectHashAggregate" in executed_plan(found)) == (max_words == 0)
+    expected = []
+    for i in range(n):
+        first, second = f"p{i}", f"p{(i + 1) % n}"
+        subjects, objects = {s for s, p, _ in rows if p == second}, {o for _, p, o in rows if p == first}
+        expected += [(f"{first}_TRPO_JOIN_{second}_TRPS", *row) for row in rows if row[1] == first and row[2] in subjects]
+        expected += [(f"{second}_TRPS_JOIN_{first}_TRPO", *row) for row in rows if row[1] == second and row[0] in objects]
+    assert bag(found) == sorted(expected, key=repr)
+
+
 def test_stored_reductions(spark, raw, tmp_path):
     path = str(tmp_path / "reductions")
     queries = {f"q{i}": patterns for i, patterns in enumerate(CONJUNCTIONS)}
