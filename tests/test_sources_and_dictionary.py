@@ -2,6 +2,8 @@
 
 import json
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +226,20 @@ def test_variables_of_few_terms_are_decoded_by_broadcasts(spark, monkeypatch):
             [(f"t{i}", '"x"' if i % 3 == 0 else "t1") for i in range(1, 391)], "a STRING, b STRING"))
     finally:
         spark.conf.set(key, before)
+
+
+def test_subjects_are_encoded_first_and_id_texts_are_not_shuffled(spark, tmp_path, sample, sample_enc, monkeypatch):
+    encoded = tw.encode_triples(sample, tw.build_dictionary(sample))
+    plan = encoded._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"Join LeftOuter, \(([so])#", plan) == ["s", "o", "s"]  # literals, resources
+    odd = spark.createDataFrame([(1, 2, "007", 7), (1, 2, "7", 7), (1, 2, '"x"', None), (1, 2, None, None)], sample_enc.schema)
+    rows = sample_enc.select("s", "p", "o", "o_id").unionByName(odd)
+    for n_buckets in (None, 2):
+        dealt = []
+        kept = type(rows).hint
+        monkeypatch.setattr(type(rows), "hint", lambda df, *how: dealt.append(df) or kept(df, *how))
+        path = str(tmp_path / f"store-{n_buckets}")
+        tw.write_properties(rows, path, n_buckets)
+        monkeypatch.undo()
+        assert bag(tw.scan_properties(spark, path)) == bag(rows)
+        assert dealt[0].where("o = CAST(o_id AS STRING)").count() == 0 and dealt[0].count() == rows.count()
