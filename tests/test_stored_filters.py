@@ -201,3 +201,21 @@ def test_lines_that_are_no_statements_are_refused(spark, tmp_path):
     assert bag(tw.read_ntriples(spark, path)) == [("s", "p", '"a \\" b"'), ("s", "p", "_:b")]
     with pytest.raises(Exception, match="not a statement"):
         tw.read_ntriples(spark, path, mode="fail").collect()
+
+
+@pytest.mark.parametrize("pieces", [8, 0])
+def test_rows_of_an_encoded_query_are_reduced_where_they_are(store, sample, shuffled, monkeypatch, pieces):
+    monkeypatch.setattr(filter_operators, "MAX_PIECES", pieces)  # 0: beyond the pieces both are shuffled
+    for patterns in (QUERIES[2], [("?x", "owns", "?w"), ("?w", "?p", "?v")]):
+        encoded = tw.encode_query(named(patterns), store.dictionary)
+        plain = tw.PropertyStore(store.sparkSession, store.path)
+        for source in (store, plain):
+            keys = tw.shared_keys(source, encoded, constants=True)
+            for pattern in encoded:
+                reduced = tw.reduce_pattern(source, pattern, encoded, shared=keys)
+                plan = reduced._jdf.queryExecution().executedPlan().toString()
+                moved = "Exchange hashpartitioning" in plan
+                assert moved == (pieces == 0)
+                assert bag(reduced) == bag(tw.reduce_pattern(source, pattern, encoded))
+        found = tw.decode_bindings(tw.reduced_bgp(plain, encoded), store.dictionary)
+        assert bag(found) == bag(tw.bgp(sample, named(patterns)))
