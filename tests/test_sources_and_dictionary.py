@@ -243,3 +243,18 @@ def test_subjects_are_encoded_first_and_id_texts_are_not_shuffled(spark, tmp_pat
         monkeypatch.undo()
         assert bag(tw.scan_properties(spark, path)) == bag(rows)
         assert dealt[0].where("o = CAST(o_id AS STRING)").count() == 0 and dealt[0].count() == rows.count()
+
+
+def test_decoding_moves_an_id_once_and_passes_other_values_through(spark, monkeypatch):
+    dictionary = spark.range(1, 401).select("id", F.concat(F.lit("t"), "id").alias("term"))
+    rows = [(1, "007"), (2, "7"), (-3, '"x"'), (900, "900"), (None, None), (5, "0900"), (6, "-4"), (2, "t")]
+    bindings = spark.createDataFrame(rows, "a BIGINT, b STRING")
+    monkeypatch.setattr("tripleweft.operators.dictionary.BROADCAST_ROWS", 0)
+    decoded = tw.decode_bindings(bindings, dictionary)
+    assert bag(decoded) == bag(spark.createDataFrame(
+        [("t1", "t7"), ("t2", "t7"), ("-3", '"x"'), ("900", "900"), (None, None), ("t5", "0900"), ("t6", "-4"), ("t2", "t")],
+        "a STRING, b STRING"))
+    plan = decoded._jdf.queryExecution().optimizedPlan()
+    join = plan.children().head()  # below the last projection
+    assert "Join LeftOuter" in join.toString().splitlines()[0]
+    assert join.children().head().output().size() == 3  # the id, a value that is none, the other variable
