@@ -1,7 +1,6 @@
 """Text formats, property tables, dictionary building and encoding."""
 
 import json
-
 import re
 
 import pytest
